@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlake.llm import packing, shared, token_files
+from basketlake.llm import jaccard, packing, pii, quality, sharding, shared, token_files, toxicity
 
 
 def vocabulary() -> str:
@@ -20,19 +20,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(documents(spark, sf_dir), 8)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path, vocabulary())
     return token_files.token_file_digests(spark, path)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+#: Word n-gram sets of documents, their links, and the smallest doc_id that links reach.
+OP9_SQL = r"""
+WITH RECURSIVE
+tokens AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM tokens),
+sizes AS (SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN grams USING (doc_id) GROUP BY d.doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.other)
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
+"""
+
+ORACLE: dict[str, str] = {"op9_jaccard": OP9_SQL}
