@@ -5,8 +5,8 @@ some documents is two byte strings: data, each rank little-endian in 1 to 4 byte
 with its number of bytes less one. Readers look a control byte's four lengths up in a table and gather all values of a
 block at once with numpy. Blocks are rows of Parquet files in the order of doc_id; their rank table is stored beside.
 
-Steps: tokenise once and store (2 bytes an id, compressed); count ids; code each document and deal the coded rows out by
-doc_id ranges; join the documents of a task to blocks. A range shuffle of coded bytes is the only shuffle of ids.
+Steps: tokenise once and store (2 bytes an id, compressed); count ids; deal the stored rows out by doc_id ranges; code
+each task's documents in blocks. That range shuffle is the only shuffle of ids.
 
 Null texts count as empty; an empty text is its end id alone. Repeated rows and doc_ids are each written; a null doc_id
 comes first. An empty table gives files without rows. Further columns are ignored.
@@ -104,44 +104,20 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     rank[[row["id"] for row in counts]] = np.arange(len(counts), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in shared.slices(batch, text="ids"):
-                values = ranks.value[data.view(width(size))]
-                bounds = (offsets // np.dtype(width(size)).itemsize).tolist()
-                both = [coded(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary()), rows.column(3)], names=["doc_id", "n", "control", "data", "tie"]
-                )
-
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block, first = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
-
-        def closed() -> pa.RecordBatch:
-            nonlocal block, first, held
-            values = np.concatenate([decoded(c, d, n) for _, n, c, d in held])
-            control, data = coded(values)
-            row = [part, block, first, len(values), [x[0] for x in held], [x[1] for x in held], control, data]
-            block, first, held = block + 1, first + len(values), []
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
-
-        waiting = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and waiting + row[1] > BLOCK_IDS:
-                    yield closed()
-                    waiting = 0
-                held.append(row)
-                waiting += row[1]
-        if held:
-            yield closed()
-
-    rows = stored.mapInArrow(code, "doc_id long, n long, control binary, data binary, tie long")
-    dealt = rows.repartitionByRange(shared.shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+            for rows, data, offsets in shared.slices(batch, text="ids", most=BLOCK_IDS * np.dtype(width(size)).itemsize):
+                control, held = coded(ranks.value[data.view(width(size))])
+                n = int(offsets[-1]) // np.dtype(width(size)).itemsize
+                row = [part, block, first, n, rows.column(0).to_pylist(), rows.column(1).to_pylist(), control, held]
+                block, first = block + 1, first + n
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    dealt = stored.repartitionByRange(shared.shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     dealt.mapInArrow(join, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     scratch.drop("ids")
     ranks.destroy()
