@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlake.llm import jaccard, packing, pii, quality, sharding, shared, token_files, toxicity
+from basketlake.llm import decontam, jaccard, packing, pii, quality, sharding, shared, token_files, toxicity
 
 
 def vocabulary() -> str:
@@ -40,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path, vocabulary())
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_decontam": op7_decontam,
     "op8_token_files": op8_token_files,
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,

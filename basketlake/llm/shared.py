@@ -144,6 +144,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hash(byte_sums(lowered(data)), starts, ends), first
 
 
+LETTERS = np.zeros(256, dtype=bool)
+for _first, _last in ((48, 57), (65, 90), (97, 122), (128, 255)):  # digits, letters, bytes of other characters
+    LETTERS[_first : _last + 1] = True
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; starts and ends of the runs of letters, digits and non-ASCII bytes; first run of each row."""
+    data = lowered(data)
+    if not len(data):
+        return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    return data, *word_spans(np.where(LETTERS[data], data, np.uint8(32)), offsets)
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; the last n - 1 positions of a row run over its end."""
     count = max(0, len(hashes) - n + 1)
