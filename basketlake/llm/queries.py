@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketlake.llm import decontam, jaccard, packing, pii, quality, sharding, shared, token_files, toxicity
+from basketlake.llm import chat, decontam, jaccard, media, packing, pii, quality, sharding, shared, token_files, toxicity
 
 
 def vocabulary() -> str:
@@ -24,6 +25,29 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
+#: Blocks of an image's side and pixels of a block's side.
+BLOCKS, BLOCK = 8, 6
+SIDE = BLOCKS * BLOCK
+
+
+def mosaic(top: int, left: int, height: int, width: int, gain: float, lift: float):
+    """Pixels of a part of the mosaic that an embedding makes: one grey block a value."""
+    value = lambda i: F.get("embedding", (F.floor((top + F.floor(i / width)) / BLOCK) * BLOCKS + F.floor((left + i % width) / BLOCK)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: (value(i) * 400 * gain + lift).cast("float"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings drawn as mosaics. Queries: the rows whose vec_id is divisible by 100, cropped, darkened and with
+    another contrast. One row for each query and different image that is a copy: query_id, vec_id (the smallest of the
+    image's rows), copies (its rows), matches (keypoints that agree)."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    images = shared.Scratch(spark, "mosaics").save(rows.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies")), "images")
+    whole = images.select("class", mosaic(0, 0, SIDE, SIDE, 1.0, 0.0).alias("pixels"), F.lit(SIDE).alias("height"))
+    edited = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), mosaic(5, 3, SIDE - 8, SIDE - 6, 0.8, -12.0).alias("pixels"), F.lit(SIDE - 8).alias("height"))
+    found = media.copy_groups(whole, edited)
+    return found.join(images.select("class", "copies"), "class").select(F.col("query").alias("query_id"), F.col("class").alias("vec_id"), "copies", "matches")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), 8)
 
@@ -36,6 +60,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mails: each message below the quoted one before it, and that one's own quotation. The table
+    has no quotes itself. The result has each message's own text again, and the message that it replies to."""
+    plain = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    quoted = lambda mark: F.concat(F.lit(mark), F.regexp_replace("text", "\n", f"\n{mark}"))
+    last = plain.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    one = last.select("conv_id", (F.col("turn") + 1).alias("turn"), quoted("> ").alias("one"))
+    two = last.select("conv_id", (F.col("turn") + 2).alias("turn"), quoted(">> ").alias("two"))
+    mails = plain.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.concat_ws("\n", "two", "one", "text").alias("text"))
+    return chat.unquoted_conversations(mails)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -60,8 +96,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_media": op2_media,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_decontam": op7_decontam,
     "op8_token_files": op8_token_files,
@@ -83,4 +121,20 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach
 SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
 """
 
-ORACLE: dict[str, str] = {"op9_jaccard": OP9_SQL}
+#: What unquoting the mails must give back, from the plain conversations.
+OP5_SQL = r"""
+WITH m AS (SELECT conv_id, turn, role, text, regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS own FROM conversations),
+pieces AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[ \t\r\n]+', ' ', 'g')) AS piece
+  FROM (SELECT conv_id, turn, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS p FROM m)),
+firsts AS (SELECT conv_id, piece, min(turn) AS at FROM pieces WHERE piece <> '' GROUP BY 1, 2),
+quoted AS (SELECT conv_id, turn, trim(regexp_replace(lower(min(text)), '[ \t\r\n]+', ' ', 'g')) AS q FROM m GROUP BY 1, 2),
+linked AS (SELECT q.conv_id, q.turn, q.q, f.at FROM quoted q LEFT JOIN firsts f ON f.conv_id = q.conv_id AND f.piece = q.q)
+SELECT m.conv_id, m.turn, m.role, m.own AS text, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || m.own || chr(10) AS formatted,
+  coalesce(a.at, b.at, a.turn) AS reply_to_turn,
+  CAST((coalesce(a.q, '') <> '') AS BIGINT) + CAST((coalesce(b.q, '') <> '') AS BIGINT) AS n_passages,
+  CAST(a.at IS NOT NULL AS BIGINT) + CAST(b.at IS NOT NULL AS BIGINT) AS n_linked,
+  CAST(NULL AS BIGINT) AS source_conv_id, CAST(NULL AS BIGINT) AS source_turn
+FROM m LEFT JOIN linked a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN linked b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2
+"""
+
+ORACLE: dict[str, str] = {"op5_chat": OP5_SQL, "op9_jaccard": OP9_SQL}
