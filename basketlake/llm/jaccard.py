@@ -228,7 +228,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     def prefix(pairing, held, own) -> DataFrame:
         """The first grams of each set in one pairing, for sets of which enough occurs elsewhere."""
-        mine = known.withColumn("pairing", pairing).where("pairing >= 0").withColumn("mine", F.array_sort(F.filter("common", lambda g: g["gram"] < F.element_at(cut_of, F.col("pairing") + 1))))
+        mine = known.withColumn("pairing", pairing).where("pairing >= 0").withColumn("mine", F.array_sort(F.filter("common", lambda g: g["gram"] < F.element_at(cut_of, F.greatest(F.col("pairing"), F.lit(0)) + 1))))
         mine = mine.withColumn("take", F.col("missing") + 1 - (F.col(held) - F.size("mine"))).where("take > 0 and size(mine) > 0")
         return mine.select("rid", "pairing", F.explode(F.slice("mine", F.lit(1), F.col("take").cast("int"))).alias("g")).select("rid", "pairing", F.col("g.gram").alias("gram"))
 
