@@ -48,10 +48,24 @@ def as_part(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(encoded), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
 
 
+def parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of some texts at a time."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= shared.CHUNK_BYTES:
+            yield as_part(held)
+            held, size = [], 0
+    if held:
+        yield as_part(held)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the values of each row; row i has those from first[i] to first[i + 1]."""
-    return np.diff(np.concatenate([[0.0], np.cumsum(values)])[first])
+    return np.diff(np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])[first])

@@ -83,16 +83,12 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     prior = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     if not 0 < ones < len(labels):
         return Model(np.zeros(BUCKETS), prior)
-    data, offsets = labelled.as_part(texts)
     rows = []
-    at = 0
-    while at < len(texts):  # features of some texts at a time
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + shared.CHUNK_BYTES, side="right")) - 1)
-        buckets, first = features(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+    for data, offsets in labelled.parts(texts):
+        buckets, first = features(data, offsets)
         for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
             found, counts = np.unique(buckets[a:b], return_counts=True)
             rows.append((found.astype(np.int32), (counts * SCALE / max(1, b - a)).astype(np.float32)))
-        at = end
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias, bias_n = 0.0, 0.0
     order = np.random.default_rng(5)

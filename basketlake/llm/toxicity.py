@@ -19,27 +19,14 @@ from pyspark.sql import DataFrame
 from basketlake.llm import labelled, shared
 
 #: Labelled rows of either label that are learnt from at most.
-PER_CLASS = 2500
+PER_CLASS = 1500
 BUCKETS = 1 << 18
 DIM = 8
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 1, 1
 EPOCHS = 40
 RATE = 0.5
 
-_letter = np.zeros(256, dtype=bool)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _letter[_a:_b] = True
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, starts and ends of the runs of letters, digits and non-ASCII bytes, first of each row."""
-    data = shared.lowered(data)
-    plain = np.where(_letter[data], data, np.uint8(32))
-    starts, ends, first = shared.word_spans(plain, offsets) if len(data) else (np.zeros(0, np.int64),) * 2 + (np.zeros(len(offsets), np.int64),)
-    return data, starts, ends, first
-
-
 def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of the byte n-grams of the word between two marks, word by word, and counts by word."""
     length = ends - starts + 2
@@ -85,7 +72,7 @@ class Model:
         self.values, self.bias = values, bias
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        data, starts, ends, first = words(data, offsets)
+        data, starts, ends, first = shared.letter_words(data, offsets)
         out = np.full(len(offsets) - 1, self.bias)
         if len(starts):
             s, e, hashes, which = distinct(data, starts, ends)
@@ -100,15 +87,32 @@ class Model:
         return labelled.sigmoid(out)
 
 
+def vocabulary_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sample's texts: which distinct word each word is, the first word of each text, and the distinct words' grams
+    with counts. Texts are taken some at a time; only distinct words' grams are kept."""
+    known: dict[int, int] = {}
+    which, per_text, buckets, counts = [], [], [], []
+    for data, offsets in labelled.parts(texts):
+        data, starts, ends, first = shared.letter_words(data, offsets)
+        s, e, hashes, local = distinct(data, starts, ends)
+        fresh = np.array([i for i, h in enumerate(hashes.tolist()) if h not in known], dtype=np.int64)
+        if len(fresh):
+            found, count = grams(data, s[fresh], e[fresh], hashes[fresh])
+            buckets.append(found)
+            counts.append(count.astype(np.int32))
+            known.update(zip(hashes[fresh].tolist(), range(len(known), len(known) + len(fresh)), strict=True))
+        which.append(np.array([known[h] for h in hashes.tolist()], dtype=np.int32)[local])
+        per_text.append(np.diff(first))
+    return np.concatenate(which), np.concatenate([[0], np.cumsum(np.concatenate(per_text))]), np.concatenate(buckets), np.concatenate(counts)
+
+
 def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     """Full passes over the sample with per-coordinate steps; rows weigh as much as their label does among all labels."""
     ones = int(labels.sum())
     prior = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     if not 0 < ones < len(labels):
         return Model(np.zeros(BUCKETS), prior)
-    data, starts, ends, first = words(*labelled.as_part(texts))
-    s, e, hashes, which = distinct(data, starts, ends)
-    buckets, count = grams(data, s, e, hashes)
+    which, first, buckets, count = vocabulary_of(texts)
     upto = np.concatenate([[0], np.cumsum(count)])
     a, b, rows = windows(first)
     some = np.flatnonzero(np.diff(rows) > 0)
@@ -119,11 +123,11 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     output = rng.normal(0, 1, DIM).astype(np.float32)
     used = np.unique(buckets)
-    local = np.searchsorted(used, buckets)
+    local = np.searchsorted(used, buckets).astype(np.int32)
     vectors = vectors[used]
     bias, seen_v, seen_o, seen_b = prior, np.full((len(used), 1), 1e-8, np.float32), np.full(DIM, 1e-8), 1e-8
     for _ in range(EPOCHS):
-        value = labelled.row_sums((vectors @ output)[local].astype(np.float64), upto) / count
+        value = labelled.row_sums((vectors @ output)[local], upto) / count
         sums = np.concatenate([[0.0], np.cumsum(value[which])])
         mean = (sums[b] - sums[a]) / (b - a)
         top = np.maximum.reduceat(mean, row_first)
@@ -133,7 +137,7 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
         on_window = np.repeat(gap, per_row) * part / (b - a)
         edge = np.bincount(a, on_window, len(which) + 1) - np.bincount(b, on_window, len(which) + 1)
         on_word = np.bincount(which, np.cumsum(edge)[:-1], len(count)) / count
-        on_bucket = np.bincount(local, np.repeat(on_word, count), len(used)).astype(np.float32)
+        on_bucket = np.bincount(local, np.repeat(on_word.astype(np.float32), count), len(used)).astype(np.float32)
         on_output = on_bucket @ vectors
         seen_v += on_bucket[:, None] ** 2 * np.float32(output @ output)
         vectors -= RATE * on_bucket[:, None] * output / np.sqrt(seen_v)
