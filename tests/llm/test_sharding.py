@@ -1,0 +1,41 @@
+from __future__ import annotations
+
+import zlib
+
+from cases import documents, empty_documents, odd_documents, odd_rows, words
+
+from basketlake.llm import sharding
+
+
+def test_contiguous_balanced_shards(spark):
+    texts = [words(i % 90, i) for i in range(1000)]
+    rows = sorted(sharding.shard_by_bytes(documents(spark, texts), 8).collect(), key=lambda r: r["doc_id"])
+    assert [(r["size"], r["text_crc32"]) for r in rows] == [(len(t) + 1, zlib.crc32(t.encode())) for t in texts]
+    assert [r["shard"] for r in rows] == sorted(r["shard"] for r in rows) and {r["law"] for r in rows} == {"bytes"}
+    target, largest = sum(len(t) + 1 for t in texts) / 8, max(map(len, texts)) + 1
+    for s in range(8):
+        own = [r for r in rows if r["shard"] == s]
+        assert abs(sum(r["size"] for r in own) - target) <= largest
+        assert [r["slot"] for r in own] == list(range(len(own)))
+
+
+def test_odd_rows(spark):
+    rows = sharding.shard_by_bytes(odd_documents(spark), 8).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(d[0]), len((d[1] or "").encode()) + 1) for d in odd_rows())
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert all(0 <= r["shard"] < 8 and r["grown_shard"] is None for r in rows)
+    assert sharding.shard_by_bytes(empty_documents(spark), 8).count() == 0
+
+
+def test_one_id_with_all_rows(spark):
+    df = spark.createDataFrame([(7, "same")] * 500, "doc_id long, text string")
+    rows = sharding.shard_by_bytes(df, 5).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(5) for k in range(100)]
+
+
+def test_written_shards(spark, tmp_path):
+    texts = [words(20, i) for i in range(50)]
+    sharding.write_shards(documents(spark, texts), str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["text"] for r in back.collect()) == sorted(texts) and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
