@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from basketlake.llm import shared
 
-QUOTE = r"^(?: {0,3}>)+"
+QUOTE = r"^(?: {0,3}>)++"  # possessive, so that many levels need no stack
 ATTRIBUTION = r"(?i)^on .* wrote:\s*$"
 
 
