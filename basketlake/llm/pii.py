@@ -72,7 +72,7 @@ DETECTORS = (
     Detector("card", r"[0-9](?:[ -]?[0-9])++", 0.6, "", lambda m: _luhn(m, 16, 19), context="card|visa|credit|debit|payment|carte|tarjeta|karte"),
     Detector("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, "+", lambda m: F.length(_digits(m)).between(8, 15), context="phone|tel|call|mobile|fax"),
     Detector("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.5, "", _mod_97, context="iban|account|bank|konto|compte|cuenta"),
-    Detector("short_card", r"(?<![0-9 -])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9]|[ -][0-9])", 0.2, "", lambda m: _luhn(m, 13, 15), context="card|visa|amex|credit|debit|carte|tarjeta|karte"),
+    Detector("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9]|[ -][0-9])", 0.2, "", lambda m: _luhn(m, 13, 15), context="card|visa|amex|credit|debit|carte|tarjeta|karte"),
     Detector("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, "-", context="ssn|social security|tax id"),
     Detector("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", 0.2, "", context="phone|tel|call|mobile|fax"),
     Detector("access_key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", 0.7, "AKIA"),
