@@ -97,9 +97,8 @@ def new_links(links: DataFrame, max_pages: int | None = None) -> DataFrame:
     first = first_per_key(named, ["file_name"], [F.asc("page"), F.asc("position"), F.asc("url")])
     fresh = first.groupBy("page").agg(F.lit(1).alias("fresh"))
     # pages count from their least number on; the first gap in the pages that have new names ends the listing
-    numbered = fresh.withColumn("rank", F.row_number().over(Window.orderBy("page")))  # a row for each page of a listing
-    start = named.agg(F.min("page").alias("start"))
-    stop = numbered.join(F.broadcast(start), F.col("page") == F.col("start") + F.col("rank") - 1).select("page")
+    numbered = fresh.withColumn("start", F.col("page") - F.row_number().over(Window.orderBy("page")) + 1)  # a row a page
+    stop = numbered.join(F.broadcast(named.agg(F.min("page").alias("start"))), "start").select("page")
     return first.join(stop, "page", "left_semi").select(*named.columns)
 
 
