@@ -24,7 +24,9 @@ MIX_B = 0x94D049BB133111EB
 CHAIN = 0xD6E8FEB86659FD93
 
 #: Text bytes that the numpy kernels handle at a time; their temporary arrays are a few times eight as large.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch while a scratch table is written; texts are long, and the usual 10,000 would be tens of MB.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,7 +46,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
+        before = self.spark.conf.get(BATCH_SETTING)
+        self.spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_SETTING, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from basketlake.llm import labelled, shared
 
 #: Labelled rows of either label that are learnt from at most.
-PER_CLASS = 1500
+PER_CLASS = 1200
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
