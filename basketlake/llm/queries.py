@@ -42,7 +42,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     image's rows), copies (its rows), matches (keypoints that agree)."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     images = shared.Scratch(spark, "mosaics").save(rows.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies")), "images")
-    whole = images.select("class", mosaic(0, 0, SIDE, SIDE, 1.0, 0.0).alias("pixels"), F.lit(SIDE).alias("height"))
+    dealt = images.repartition(4 * spark.sparkContext.defaultParallelism, "class")  # drawing is the work, not reading
+    whole = dealt.select("class", mosaic(0, 0, SIDE, SIDE, 1.0, 0.0).alias("pixels"), F.lit(SIDE).alias("height"))
     edited = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), mosaic(5, 3, SIDE - 8, SIDE - 6, 0.8, -12.0).alias("pixels"), F.lit(SIDE - 8).alias("height"))
     found = media.copy_groups(whole, edited)
     return found.join(images.select("class", "copies"), "class").select(F.col("query").alias("query_id"), F.col("class").alias("vec_id"), "copies", "matches")
