@@ -199,27 +199,24 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components: `node`, `root` (the smallest node of its component), for all nodes of edges (u, v).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): neighbours move to the smallest node near
-    them until only stars are left. Each round is two aggregations and joins and is stored; only its count and checksum
-    reach the driver. Hubs are aggregated before they are joined, and no list of neighbours is ever built.
+    them until only stars are left. Each round is two aggregations and joins and is stored; only whether a node is in
+    the way reaches the driver. Hubs are aggregated before they are joined, and no list of neighbours is ever built.
     """
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def is_stars(e: DataFrame) -> bool:
+        """Whether each u has one v and no v is itself a u."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+        return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out + root > 1").isEmpty()
 
-    now = scratch.save(edges.select("u", "v").where("u <> v").distinct(), f"{name}-0")
-    before, at = state(now), 0
-    while True:
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now, at = scratch.save(edges.distinct(), f"{name}-0"), 0
+    while not is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         at += 1
         now = scratch.save(small.where("u <> v").distinct(), f"{name}-{at}")
         scratch.drop(f"{name}-{at - 1}")
-        after = state(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
