@@ -38,18 +38,25 @@ def mosaic(top: int, left: int, height: int, width: int, gain: float, lift: floa
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings drawn as mosaics. Queries: the rows whose vec_id is divisible by 100, cropped, darkened and with
-    another contrast. One row for each query: query_id, images (different ones that it is a copy of), copies (rows that
-    have one of them), vec_id (the smallest row of the image with most agreeing keypoints), matches (of that one)."""
+    another contrast. One row for each query and different image that it is a copy of: query_id, vec_id (the smallest
+    row of the image), copies (rows that have the image), matches (keypoints that agree); a query without one has nulls.
+    Below them, with query_id null, one row for each further row of the images found: vec_id (as above), copy_id."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    images = shared.Scratch(spark, "mosaics").save(rows.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies")), "images")
+    scratch = shared.Scratch(spark, "mosaics")
+    images = scratch.save(rows.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies")), "images")
     dealt = images.repartition(4 * spark.sparkContext.defaultParallelism, "class")  # drawing is the work, not reading
     whole = dealt.select("class", mosaic(0, 0, SIDE, SIDE, 1.0, 0.0).alias("pixels"), F.lit(SIDE).alias("height"))
     edited = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), mosaic(5, 3, SIDE - 8, SIDE - 6, 0.8, -12.0).alias("pixels"), F.lit(SIDE - 8).alias("height"))
-    found = media.copy_groups(whole, edited).join(images.select("class", "copies"), "class")
-    best = F.max(F.struct("matches", (-F.col("class")).alias("back")))
-    each = found.groupBy("query").agg(F.count("*").alias("images"), F.sum("copies").alias("copies"), (-best["back"]).alias("vec_id"), best["matches"].alias("matches"))
-    every = edited.select("query").join(each, "query", "left")
-    return every.select(F.col("query").alias("query_id"), F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("copies", F.lit(0)).alias("copies"), "vec_id", "matches")
+    found = scratch.save(media.copy_groups(whole, edited).join(images.select("class", "copies"), "class"), "found")
+    pairs = edited.select("query").distinct().join(found, "query", "left").select(F.col("query").alias("query_id"), F.col("class").alias("vec_id"), "copies", "matches", F.lit(None).cast("long").alias("copy_id"))
+
+    # a class's rows once, not once a query: a group of exact copies may be as large as the table
+    several = images.join(found.where("copies > 1").select("class").distinct(), "class", "left_semi")
+    keys = [F.xxhash64("embedding").alias("k1"), F.hash("embedding").alias("k2")]
+    several = scratch.save(several.select("class", *keys), "several")
+    members = rows.select("vec_id", *keys).join(shared.bounded(several), ["k1", "k2"]).where("vec_id <> class")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("copies", "matches")]
+    return pairs.unionByName(members.select(F.lit(None).cast("long").alias("query_id"), F.col("class").alias("vec_id"), *nothing, F.col("vec_id").alias("copy_id")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
