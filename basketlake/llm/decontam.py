@@ -9,14 +9,16 @@
    divided by the singular values, else the few directions that tell languages apart outweigh all others.
 4. Search. At every passage of every text, windows somewhat longer than each item are projected and held against the
    items of that length by cosine. Windows around which too few of the items' answer terms (step 5) occur at all are
-   left out first; no item could pass its check there.
+   left out first; no item could pass its check there. An item with fewer than ANSWERS weighted terms (one that leaks so
+   widely that its own terms are common, one of a tiny table, one of common words only) isn't searched by cosine: each
+   window that has enough of its answer terms is a candidate, which leaves out none that could pass.
 5. Checks. For a candidate, the longest common subsequence of the item and the words around the window, as a share of the
    item; and the item's ANSWERS rarest terms, as a share found there. A leak has LCS_SURE of the item in order and
    ANSWERS_SOME of those terms, or LCS_LEAST and ANSWERS_MOST.
 
 The benchmark is handled in blocks of ITEMS items, which bounds what is broadcast and what the driver holds.
 
-Null and empty texts have no leaks, nor do items without a weighted term. An item that occurs twice in a text gives its
+Null and empty texts have no leaks, nor do items without a word. An item that occurs twice in a text gives its
 better place. Repeated rows are each searched; a null doc_id stays null. Empty tables give no rows. Further columns are
 ignored.
 """
@@ -91,6 +93,10 @@ class Index:
     ids: list[int]
     codes: list[np.ndarray]
     answers: list[set[int]]
+    usual: np.ndarray  # items that are searched by cosine; the vectors of others are 0
+    idf: np.ndarray  # by code, of common words too
+    first: np.ndarray  # by code, where in `asking` the other items begin that have it among their answer terms (n + 1)
+    asking: np.ndarray
 
 
 def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +129,12 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def plain_cosine(item: np.ndarray, words: np.ndarray, idf: np.ndarray) -> float:
+    """Of the TF-IDF vectors of the item and some words; unknown words have no weight."""
+    a, b = (np.bincount(c, minlength=len(idf))[:-1] * idf[:-1] for c in (item, words))
+    return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-30))
+
+
 def answers_needed(terms: set[int]) -> int:
     return max(1, math.ceil(ANSWERS_SOME * len(terms)))
 
@@ -183,7 +195,8 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
     for r in gathered.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # a row a term
         counts[r["code"]] = r["n"]
     total = max(1.0, counts[unknown])
-    weight = np.where(counts > max(1.0, COMMON * total), 0.0, np.log((total + 1) / (counts + 1))).astype(np.float32)
+    idf = np.log((total + 1) / (counts + 1))
+    weight = np.where(counts > max(1.0, COMMON * total), 0.0, idf).astype(np.float32)
     weight[unknown] = 0
 
     # A'(AR) over all passages of the corpus
@@ -217,17 +230,35 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
 
     codes = [vocabulary.codes(words[a:b]).astype(np.int64) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
     vectors = np.array([basis[c].sum(axis=0) for c in codes]).reshape(len(codes), -1)
-    kept = [i for i, v in enumerate(vectors) if np.abs(v).sum() > 0]
-    vectors = vectors[kept] / np.linalg.norm(vectors[kept], axis=1, keepdims=True)
-    rarest = [set(sorted(set(codes[i].tolist()), key=lambda c: (-weight[c], c))[:ANSWERS]) for i in kept]
-    index = spark.sparkContext.broadcast(Index(weight, basis, vectors, [items[i]["item_id"] for i in kept], [codes[i] for i in kept], rarest))
+    kept = [i for i, c in enumerate(codes) if len(c)]
+    rarest = [set(sorted(set(codes[i].tolist()), key=lambda c: (-idf[c], c))[:ANSWERS]) for i in kept]
+    vectors = vectors[kept]
+    norms = np.linalg.norm(vectors, axis=1)
+    usual = np.array([(weight[list(terms)] > 0).sum() >= ANSWERS for terms in rarest], dtype=bool) & (norms > 0)
+    vectors = np.where(usual, 1 / np.maximum(norms, 1e-30), 0)[:, None] * vectors
+    asking = sorted((c, j) for j, terms in enumerate(rarest) if not usual[j] for c in terms)
+    upto = np.searchsorted(np.array([c for c, _ in asking], dtype=np.int64), np.arange(unknown + 2))
+    index = spark.sparkContext.broadcast(Index(weight, basis, vectors, [items[i]["item_id"] for i in kept], [codes[i] for i in kept], rarest, usual, idf, upto, np.array([j for _, j in asking], dtype=np.int64)))
+
+    def asked_for(x: Index, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that aren't searched by cosine, and the places of their answer terms, ascending."""
+        n = x.first[codes + 1] - x.first[codes]
+        at = np.flatnonzero(n)
+        n = n[at]
+        if not len(at):
+            return
+        item = x.asking[np.repeat(x.first[codes[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], np.repeat(at, n)[order]
+        edge = np.flatnonzero(np.diff(item, prepend=-1))
+        yield from zip(item[edge].tolist(), np.split(at, edge[1:]), strict=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
         reach = np.array([max(2, len(c) // STRIDE + 1) for c in x.codes])  # passages of an item's windows
         asked = np.zeros(unknown + 1, dtype=np.int64)
-        asked[[c for terms in x.answers for c in terms]] = 1
-        least = min(answers_needed(terms) for terms in x.answers)
+        asked[[c for terms, usual in zip(x.answers, x.usual, strict=True) if usual for c in terms]] = 1
+        least = min((answers_needed(terms) for terms, usual in zip(x.answers, x.usual, strict=True) if usual), default=1)
         for rows, codes, upto, starts, row_first in parts(batches):
             count = len(starts)
             row = np.repeat(np.arange(len(rows)), np.diff(row_first))
@@ -236,37 +267,49 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
             met = np.concatenate([[0], np.cumsum(asked[codes])])[np.append(starts, len(codes))]
             kept: dict[int, np.ndarray] = {}
             need = np.zeros(count + 1, dtype=np.int64)
-            for k in np.unique(reach).tolist():
+            for k in np.unique(reach[x.usual]).tolist():
                 around = met[np.minimum(place + k + 1, stop)] - met[np.maximum(place - 1, begin)]
                 kept[k] = np.flatnonzero(around >= least)
                 np.add.at(need, kept[k], 1)
                 np.add.at(need, np.minimum(kept[k] + k, stop[kept[k]]), -1)
             wanted = np.repeat(np.cumsum(need)[:count] > 0, np.diff(np.append(starts, len(codes))))
             at = np.flatnonzero(wanted & (x.weight[codes] > 0))
-            if not len(at):
-                continue
-            latent = np.concatenate([np.zeros((1, x.basis.shape[1])), np.cumsum(sums_by_passage(x.basis[codes[at]], at, starts), axis=0, dtype=np.float64)])
             best: dict[tuple[int, int], tuple] = {}
             doc_ids = rows.column(0).to_pylist()
-            for k, all_ in kept.items():
-                items = np.flatnonzero(reach == k)
+
+            def check(w: int, item: int, cosine: float | None) -> None:
+                r, k = int(row[w]), int(reach[item])
+                a, b = max(int(upto[r]), int(starts[w]) - STRIDE), min(int(upto[r + 1]), int(starts[w]) + (k + 1) * STRIDE)
+                near = codes[a:b]
+                terms = x.answers[item]
+                answers = len(terms.intersection(near.tolist()))
+                if answers < answers_needed(terms):
+                    return
+                lcs = common_subsequence(x.codes[item], near) / len(x.codes[item])
+                if lcs >= LCS_SURE or lcs >= LCS_LEAST and answers >= ANSWERS_MOST * len(terms):
+                    if cosine is None:
+                        cosine = plain_cosine(x.codes[item], codes[starts[w] : min(int(upto[r + 1]), int(starts[w]) + k * STRIDE)], x.idf)
+                    now = (lcs, answers / len(terms), cosine, int(starts[w]) - int(upto[r]))
+                    best[r, item] = max(best.get((r, item), now), now)
+
+            if len(at):
+                latent = np.concatenate([np.zeros((1, x.basis.shape[1])), np.cumsum(sums_by_passage(x.basis[codes[at]], at, starts), axis=0, dtype=np.float64)])
+            for k, all_ in kept.items() if len(at) else ():
+                items = np.flatnonzero((reach == k) & x.usual)
                 vectors = x.vectors[items].T
                 for windows in np.array_split(all_, max(1, len(all_) // 20_000)):
                     summed = (latent[np.minimum(windows + k, stop[windows])] - latent[windows]).astype(np.float32)
                     cosine = (summed / np.maximum(np.linalg.norm(summed, axis=1, keepdims=True), 1e-9)) @ vectors
                     for i, j in np.argwhere(cosine >= COSINE).tolist():
-                        w, item = int(windows[i]), int(items[j])
-                        r = int(row[w])
-                        a, b = max(int(upto[r]), int(starts[w]) - STRIDE), min(int(upto[r + 1]), int(starts[w]) + (k + 1) * STRIDE)
-                        near = codes[a:b]
-                        terms = x.answers[item]
-                        answers = len(terms.intersection(near.tolist()))
-                        if answers < answers_needed(terms):
-                            continue
-                        lcs = common_subsequence(x.codes[item], near) / len(x.codes[item])
-                        if lcs >= LCS_SURE or lcs >= LCS_LEAST and answers >= ANSWERS_MOST * len(terms):
-                            now = (lcs, answers / len(terms), float(cosine[i, j]), int(starts[w]) - int(upto[r]))
-                            best[r, item] = max(best.get((r, item), now), now)
+                        check(int(windows[i]), int(items[j]), float(cosine[i, j]))
+            for item, places in asked_for(x, codes):
+                k = int(reach[item])
+                windows = np.unique((np.searchsorted(starts, places, side="right") - 1)[:, None] + np.arange(-k - 1, 2))
+                windows = windows[(windows >= 0) & (windows < count)]
+                a, b = np.maximum(upto[row[windows]], starts[windows] - STRIDE), np.minimum(upto[row[windows] + 1], starts[windows] + (k + 1) * STRIDE)
+                enough = np.searchsorted(places, b) - np.searchsorted(places, a) >= answers_needed(x.answers[item])
+                for w in windows[enough].tolist():
+                    check(w, item, None)
             if best:
                 out = [(doc_ids[r], x.ids[item], start, cosine, lcs, answers) for (r, item), (lcs, answers, cosine, start) in best.items()]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
