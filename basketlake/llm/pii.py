@@ -64,6 +64,22 @@ class Detector:
     context: str = ""  # words that add to the score
 
 
+#: Length of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A listed country's IBAN has its length, so what follows in capitals isn't taken; another's goes as far as it can,
+    but not into a listed one."""
+    listed = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    known = "|".join(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+    other = rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!(?<![A-Za-z0-9])(?:{listed})[0-9]{{2}})[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 #: The base patterns are possessive where nothing that follows could take back what was matched, and start only where
 #: an earlier start would have matched too; their leftmost matches stay the same and long runs cost linear time.
 DETECTORS = (
@@ -71,7 +87,7 @@ DETECTORS = (
     Detector("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, ".", _is_ip),
     Detector("card", r"[0-9](?:[ -]?[0-9])++", 0.6, "", lambda m: _luhn(m, 16, 19), context="card|visa|credit|debit|payment|carte|tarjeta|karte"),
     Detector("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, "+", lambda m: F.length(_digits(m)).between(8, 15), context="phone|tel|call|mobile|fax"),
-    Detector("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.5, "", _mod_97, context="iban|account|bank|konto|compte|cuenta"),
+    Detector("iban", _iban(), 0.5, "", _mod_97, context="iban|account|bank|konto|compte|cuenta"),
     Detector("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9]|[ -][0-9])", 0.2, "", lambda m: _luhn(m, 13, 15), context="card|visa|amex|credit|debit|carte|tarjeta|karte"),
     Detector("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, "-", context="ssn|social security|tax id"),
     Detector("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", 0.2, "", context="phone|tel|call|mobile|fax"),
