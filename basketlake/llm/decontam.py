@@ -173,7 +173,7 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
                 upto = offsets // np.dtype(kind).itemsize
                 yield rows, data.view(kind).astype(np.int64), upto, *passages(upto)
 
-    coded = scratch.save(shared.narrow_documents(docs).withColumn("text", F.lower("text")).mapInArrow(code, "doc_id long, codes binary"), "codes", compression="zstd")
+    coded = scratch.save(shared.mapped(shared.narrow_documents(docs).withColumn("text", F.lower("text")), code, "doc_id long, codes binary"), "codes", compression="zstd")
 
     # each task adds up before it sends a row a term, so few tasks with much input send least
     gathered = coded.select("codes").coalesce(4 * spark.sparkContext.defaultParallelism)
@@ -192,7 +192,7 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met])], names=["code", "n"])
 
     counts = np.zeros(unknown + 1)
-    for r in gathered.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # a row a term
+    for r in shared.mapped(gathered, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # a row a term
         counts[r["code"]] = r["n"]
     total = max(1.0, counts[unknown])
     idf = np.log((total + 1) / (counts + 1))
@@ -223,7 +223,7 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
         yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(out[met, i]) for i in range(wide))], names=["code", *columns])
 
     product = np.zeros((unknown + 1, wide))
-    summed = gathered.mapInArrow(sketch, ", ".join(["code long", *(f"{c} double" for c in columns)])).groupBy("code").agg(*(F.sum(c).alias(c) for c in columns))
+    summed = shared.mapped(gathered, sketch, ", ".join(["code long", *(f"{c} double" for c in columns)])).groupBy("code").agg(*(F.sum(c).alias(c) for c in columns))
     for r in summed.collect():  # a row a term
         product[r["code"]] = r[1:]
     basis = singular_vectors(product, random.astype(np.float64))[:, :RANK].astype(np.float32) * weight[:, None]
@@ -315,7 +315,7 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[h.split()[0] for h in HITS.split(", ")])
 
-    return scratch.save(coded.mapInArrow(search, HITS), "leaks") if kept else spark.createDataFrame([], HITS)
+    return scratch.save(shared.mapped(coded, search, HITS), "leaks") if kept else spark.createDataFrame([], HITS)
 
 
 def singular_vectors(product: np.ndarray, random: np.ndarray) -> np.ndarray:

@@ -9,14 +9,18 @@ Documents link when `percent` * union <= 100 * intersection. The join is exact,
    only if all but m of its part occur in another set. Ordered by count over the corpus, rarest first, the first m + 1
    n-grams of two linked sets' parts have one in common: sets are tied to the smallest set with the same such n-gram.
    What many documents share comes last in this order and ties nothing unless a text is mostly made of it.
-3. Families. Connected components of these ties, found by joins (`shared.components`).
-4. Prefix tree. Each family's whole sets, ordered by count, go into a compressed tree. A set walks it, adding up overlaps
-   of shared stretches once for all sets below, and leaves out subtrees whose remaining lengths can't reach the threshold
-   or whose sets are all in its own component already. Families over FAMILY sets are dealt out in pairs of blocks.
+3. Families. Connected components of these ties, found by joins (`shared.components`). Whole sets of families are stored.
+4. Prefix tree. A family's whole sets, ordered by count, go into a compressed tree. A set walks it, adding up overlaps of
+   shared stretches once for all sets below, and leaves out subtrees whose remaining lengths can't reach the threshold or
+   whose sets are all in its own component already. One task takes sets of UNIT n-grams at most, so larger families are
+   walked in turns: each block by itself; then one set of each component so far, while that joins components; then, for
+   the links that representatives can't show, pairs of blocks in which sets of different components still share a
+   candidate n-gram. Sets of one large component are never held against each other again.
 5. Components of the links, with the smallest doc_id over all rows of their classes.
 
-Only n-grams that occur in two sets are joined back, so ordinary documents leave after one count. Work within a family
-of distinct sets that share candidates but do not link grows with the square of its size, spread over its block pairs.
+Only n-grams that occur in two sets are joined back, so ordinary documents leave after one count. A family of copies that
+link costs about one walk a set; distinct sets of one family that share candidates but do not link cost work that grows
+with the square of their number, spread over block pairs.
 
 A null or empty text has an empty set and links with nothing, with its own doc_id as component. A text of fewer words
 than n is one n-gram, its whole sequence. Repeated rows are one class. A null doc_id takes the smallest doc_id of its
@@ -29,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlake.llm import shared
 
-#: Sets of a family that one task takes at most.
-FAMILY = 2000
+#: N-grams of whole sets that one task takes at most, about; a set counts SET more for what it costs besides.
+UNIT, SET = 1_000_000, 200
 #: Share of a large set's n-grams that is counted, and n-grams that are counted of any set on average at least.
 PART, LEAST = 0.25, 60
 TOP = 1 << 63
@@ -127,9 +131,13 @@ class Tree:
         return out[::-1]
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first set of its component; sets are sorted arrays of ranks without repeats."""
+def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first set of its component; sets are sorted arrays of ranks without repeats. `known` numbers the
+    components that are known already."""
     tree, root = Tree(sets), list(range(len(sets)))
+    if known is not None:
+        _, at, which = np.unique(known, return_index=True, return_inverse=True)
+        root = at[which].tolist()
     width = int(max((int(s[-1]) for s in sets if len(s)), default=0)) + 1
     mark = np.zeros(width, dtype=bool)
 
@@ -177,21 +185,19 @@ def _links_of_unit(percent: int):
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
         rid = table.column("rid").to_numpy()
-        keep = np.unique(rid, return_index=True)[1]  # rows of a set that came twice
         _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
         rank = np.empty(len(count), dtype=np.uint32)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
         ranks = rank[code]
-        root = linked([np.sort(ranks[bounds[i] : bounds[i + 1]]) for i in keep.tolist()], percent)
-        ids = rid[keep]
+        root = linked([np.sort(ranks[bounds[i] : bounds[i + 1]]) for i in range(len(rid))], percent, table.column("comp").to_numpy())
         some = root != np.arange(len(root))
-        return pa.table({"u": pa.array(ids[some], pa.int64()), "v": pa.array(ids[root[some]], pa.int64())})
+        return pa.table({"u": pa.array(rid[some], pa.int64()), "v": pa.array(rid[root[some]], pa.int64())})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, hash of the text, n_shingles, root (a number of the component, null for empty sets), component_id."""
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "jaccard")
     bounds = size_classes(percent)
@@ -206,15 +212,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                     part = found[found < cuts[max(0, size - 1)]]
                     out.append((len(found), size, *digest(found), int((found < cuts[size]).sum()), part.astype(np.int64)))
                 columns = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), *(pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.array(columns[5], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "size_class", "k1", "k2", "n_low", "part"],
+                    [rows.column(0), rows.column(2), *(pa.array(c, t) for c, t in zip(columns[:5], kinds, strict=True)), listed(columns[5])],
+                    names=["doc_id", shared.TEXT_HASH, "n", "size_class", "k1", "k2", "n_low", "part"],
                 )
 
-    text = shared.narrow_documents(docs)
-    found = text.mapInArrow(sets, "doc_id long, n long, size_class int, k1 long, k2 long, n_low int, part array<long>")
+    text = shared.hashed_documents(docs)
+    found = shared.mapped(text, sets, f"doc_id long, {shared.TEXT_HASH} long, n long, size_class int, k1 long, k2 long, n_low int, part array<long>")
     found = scratch.save(found.withColumn("rid", F.monotonically_increasing_id()), "sets")
-    classes = scratch.save(found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", shared.TEXT_HASH))
+    classes = found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), first.alias("first"))
+    classes = scratch.save(classes.select("k1", "k2", "n", "rid", F.col("first.doc_id").alias("first"), F.col(f"first.{shared.TEXT_HASH}").alias("first_hash")), "classes")
     later = scratch.save(found.where("n > 0").select("rid").join(classes.select("rid"), "rid", "left_anti"), "later")
     single = found.where("n > 0").join(shared.bounded(later), "rid", "left_anti")
 
@@ -226,53 +235,133 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     known = common.join(narrow, "rid").withColumn("missing", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)))
     cut_of = F.array(*(F.lit(int(c)) for c in cuts[:-1]))
 
-    def prefix(pairing, held, own) -> DataFrame:
+    def prefix(pairing, held) -> DataFrame:
         """The first grams of each set in one pairing, for sets of which enough occurs elsewhere."""
-        mine = known.withColumn("pairing", pairing).where("pairing >= 0").withColumn("mine", F.array_sort(F.filter("common", lambda g: g["gram"] < F.element_at(cut_of, F.greatest(F.col("pairing"), F.lit(0)) + 1))))
+        below = F.element_at(cut_of, F.greatest(F.col("pairing"), F.lit(0)) + 1)
+        mine = known.withColumn("pairing", pairing).where("pairing >= 0").withColumn("mine", F.array_sort(F.filter("common", lambda g: g["gram"] < below)))
         mine = mine.withColumn("take", F.col("missing") + 1 - (F.col(held) - F.size("mine"))).where("take > 0 and size(mine) > 0")
-        return mine.select("rid", "pairing", F.explode(F.slice("mine", F.lit(1), F.col("take").cast("int"))).alias("g")).select("rid", "pairing", F.col("g.gram").alias("gram"))
+        firsts = F.slice("mine", F.lit(1), F.col("take").cast("int"))
+        return mine.select("rid", "pairing", F.explode(firsts).alias("g")).select("rid", "pairing", F.col("g.gram").alias("gram"))
 
     known = scratch.save(known, "known")
-    firsts = scratch.save(prefix(F.col("size_class"), "n_low", 0).unionByName(prefix(F.col("size_class") - 1, "n_high", 1)), "firsts")
-    scratch.drop("known")
-    scratch.drop("counts")
-    hubs = scratch.save(firsts.groupBy("pairing", "gram").agg(F.min("rid").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members"), "hubs")
-    ties = firsts.join(hubs, ["pairing", "gram"]).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
-    family = scratch.save(shared.components(ties, scratch, "ties"), "family")
-
-    # whole sets of the families, by blocks where a family is large
-    sizes = family.groupBy("root").agg(F.count("*").alias("members"))
-    units = family.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / F.lit(FAMILY // 2)).cast("int"))
-    one = F.when(F.col("members") <= FAMILY, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    last = F.when(F.col("members") <= FAMILY, F.lit(0)).otherwise(F.col("blocks") - 1)
-    units = units.withColumn("one", one).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    units = units.select(F.col("node").alias("rid"), F.col("root"), F.least("one", "other").alias("low"), F.greatest("one", "other").alias("high"))
-    wanted = scratch.save(units.join(classes, "rid"), "wanted")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    firsts = scratch.save(prefix(F.col("size_class"), "n_low").unionByName(prefix(F.col("size_class") - 1, "n_high")), "firsts")
+    scratch.drop("known", "counts", "later")
+    hubs = firsts.groupBy("pairing", "gram").agg(F.min("rid").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    ties = firsts.join(scratch.save(hubs, "hubs"), ["pairing", "gram"]).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    family = scratch.save(shared.components(ties, scratch, "ties"), "family").select(F.col("node").alias("rid"), F.col("root").alias("family"))
+    joined = _links_in_families(text, family, classes, firsts, n, percent, scratch)
+
+    # the smallest doc_id of each component, for all rows of its classes
+    rooted = classes.join(joined, classes["rid"] == joined["node"], "left").select("k1", "k2", "first", F.coalesce("root", "rid").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = scratch.save(rooted.join(names, "root").select("k1", "k2", "root", "component_id"), "named")
+    out = found.select("doc_id", shared.TEXT_HASH, "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    return scratch.result(out.select("doc_id", shared.TEXT_HASH, F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def listed(rows: list[np.ndarray] | tuple[np.ndarray, ...]) -> pa.ListArray:
+    """Arrays of integers as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
+
+
+def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, firsts: DataFrame, n: int, percent: int, scratch: shared.Scratch) -> DataFrame:
+    """node, root: components of the links between the sets of families (rid, family)."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in shared.slices(batch):
                 rows = [(*digest(g), g.astype(np.int64)) for g in distinct_ngrams(data, offsets, n)]
-                k1, k2, grams = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["k1", "k2", "grams"])
+                k1, k2, found = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), listed(found)], names=["k1", "k2", "grams"])
+
+    members = scratch.save(family.join(classes, "rid").select("rid", "family", "k1", "k2", (F.col("n") + SET).alias("cost"), F.col("first").alias("doc_id"), F.col("first_hash").alias(shared.TEXT_HASH)), "members")
+    owners = shared.without(text, members.select("doc_id", shared.TEXT_HASH), "left_semi")
+    again = shared.mapped(owners, grams, "k1 long, k2 long, grams array<long>")
+    again = again.join(shared.bounded(members.select("k1", "k2", "rid")), ["k1", "k2"])
+    whole = scratch.save(again.groupBy("rid").agg(F.any_value("grams").alias("grams")), "whole")  # rows with the owner's id and text, once
+    members = members.select("rid", "family", "cost")
+
+    def walked(units: DataFrame, name: str) -> DataFrame:
+        """Links within units: rid, comp (component so far), and family, low, high, which name the unit."""
+        units = shared.bounded(scratch.save(units, f"{name}-units"))
+        links = whole.join(units, "rid").groupBy("family", "low", "high").applyInArrow(_links_of_unit(percent), "u long, v long")
+        return scratch.save(links, f"{name}-links")
+
+    def with_components(sets: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        found = scratch.save(shared.components(links, scratch, name), f"{name}-components")
+        return sets.drop("comp").join(shared.bounded(found), sets["rid"] == found["node"], "left").withColumn("comp", F.coalesce("root", "rid")).drop("node", "root")
+
+    def in_blocks(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Units of one block each, and the families that have several."""
+        large = scratch.save(sets.groupBy("family").agg(F.sum("cost").alias("total")).where(F.col("total") > UNIT), f"{name}-large")
+        block = F.coalesce(F.pmod(F.xxhash64("rid"), F.ceil(F.col("total") / F.lit(UNIT))), F.lit(0)).cast("long")
+        dealt = sets.join(shared.bounded(large), "family", "left").withColumn("low", block)
+        return dealt.select("rid", "comp", "family", "low", F.col("low").alias("high")), large.select("family")
+
+    units, large = in_blocks(members.withColumn("comp", F.col("rid")), "first")
+    links = walked(units, "first")
+    if large.isEmpty():
+        return scratch.save(shared.components(links, scratch, "links"), "components")
+
+    # one set of each component, while that joins components
+    some = scratch.save(members.join(shared.bounded(large), "family", "left_semi"), "several")
+    at, before = 0, some.count()
+    while True:
+        at += 1
+        state = scratch.save(with_components(some, links, f"turn-{at}"), f"state-{at}")
+        heads = state.where("rid = comp")
+        left = heads.count()
+        if left > 0.7 * before:
+            break
+        units, several = in_blocks(heads, f"heads-{at}")
+        links = scratch.save(links.unionByName(walked(units, f"heads-{at}")), f"links-{at}")
+        if several.isEmpty():
+            state = scratch.save(with_components(some, links, f"last-{at}"), f"last-state-{at}")
+            break
+        before = left
+
+    # sets of different components that share a candidate n-gram, in pairs of blocks
+    placed = firsts.join(shared.bounded(state.select("rid", "comp"), state), "rid")
+    mixed = placed.groupBy("pairing", "gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("pairing", "gram")
+    mixed = scratch.save(mixed, "mixed")
+    open_ = scratch.save(placed.join(mixed, ["pairing", "gram"]).select("rid").distinct(), "open")
+    state = state.join(shared.bounded(open_), "rid", "left_semi")
+    half = F.lit(UNIT // 2)
+    major = scratch.save(state.groupBy("family", "comp").agg(F.sum("cost").alias("own")).where(F.col("own") > half), "major")
+    state = state.join(shared.bounded(major), ["family", "comp"], "left").withColumn("kind", F.when(F.col("own").isNotNull(), F.col("comp")).otherwise(F.lit(-1)))
+    pools = scratch.save(state.groupBy("family", "kind").agg(F.sum("cost").alias("total")), "pools")
+    state = state.join(shared.bounded(pools), ["family", "kind"]).withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("rid"), F.ceil(F.col("total") / half))))
+    state = scratch.save(state.select("rid", "comp", "family", "kind", "block"), "blocks")
+    blocks = state.select("family", "kind", "block").distinct()
+    other = blocks.select("family", F.col("kind").alias("kind_2"), F.col("block").alias("block_2"))
+    pairs = blocks.join(other, "family").where("block <= block_2 and (kind <> kind_2 or kind = -1)")  # a row for each unit
+    pairs = scratch.save(pairs.select("family", F.col("block").alias("low"), F.col("block_2").alias("high")), "pairs")
+    sides = pairs.withColumn("block", F.col("low")).unionByName(pairs.withColumn("block", F.col("high"))).distinct()
+    units = state.join(sides, ["family", "block"]).select("rid", "comp", "family", "low", "high")
+    links = links.unionByName(walked(units, "pairs"))
+    return scratch.save(shared.components(links, scratch, "links"), "components")
 
-    owners = scratch.save(wanted.select(F.col("first").alias("owner")).distinct(), "owners")
-    owned = text.join(shared.bounded(owners), text["doc_id"].eqNullSafe(F.col("owner")), "left_semi")
-    again = owned.mapInArrow(whole, "k1 long, k2 long, grams array<long>")
-    member = shared.bounded(wanted.select("k1", "k2", "rid", "root", "low", "high"))
-    links = again.join(member, ["k1", "k2"]).select("rid", "root", "low", "high", "grams").groupBy("root", "low", "high").applyInArrow(_links_of_unit(percent), "u long, v long")
-    joined = scratch.save(shared.components(links, scratch, "links"), "components")
 
-    # the smallest doc_id of each component, for all rows of its classes
-    rooted = classes.join(joined, classes["rid"] == joined["node"], "left").select("k1", "k2", "n", "first", F.coalesce("root", "rid").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.save(rooted.join(names, "root").select("k1", "k2", "component_id"), "named")
-    return found.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _grouped(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose doc_id is the smallest of its component; rows that repeat a doc_id stay or go together."""
+    """One row of each component: that with the smallest doc_id (null: last), of its texts that with the smallest hash; of
+    rows equal in both the first by a hash of the other columns. Rows without words all stay."""
     scratch = shared.Scratch(docs.sparkSession, "near-copies")
-    groups = jaccard_components(docs, n, percent)
-    dropped = scratch.save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(shared.bounded(dropped), "doc_id", "left_anti")
+    rows = _grouped(docs, n, percent).where("root is not null").withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", shared.TEXT_HASH))
+    heads = rows.groupBy("root").agg(F.min("key").alias("head"), F.count("*").alias("rows")).where("rows > 1")
+    heads = scratch.save(heads.select("root", F.col("head.doc_id").alias("head_id"), F.col(f"head.{shared.TEXT_HASH}").alias("head_hash")), "heads")
+    grouped = rows.join(shared.bounded(heads), "root").withColumn("is_head", F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col(shared.TEXT_HASH) == F.col("head_hash")))
+    key = ["doc_id", shared.TEXT_HASH]
+    dropped = scratch.save(grouped.where(~F.col("is_head")).select(*key).distinct(), "dropped")
+    again = scratch.save(grouped.where("is_head").groupBy(*key).count().where("count > 1").select(*key), "again")
+    kept = shared.without(docs, dropped)
+    if again.isEmpty():
+        return kept
+    others = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    several = shared.without(kept, again, "left_semi").withColumn("__order", F.xxhash64(*others, F.lit(0))).withColumn(shared.TEXT_HASH, F.xxhash64(F.col("text").cast("string")))
+    first = several.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy("__order"))).where("__place = 1").select(*docs.columns)
+    return shared.without(kept, again).select(*docs.columns).unionByName(first)

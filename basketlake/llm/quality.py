@@ -111,4 +111,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     """doc_id, held_out, score, predicted of every row of the documents."""
     model = train(*labelled.sample(docs, labels, "quality", per_class))
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
-    return labelled.scored(docs, lambda data, offsets: held.value.score(data, offsets), threshold)
+    return labelled.scored(docs, lambda data, offsets: held.value.score(data, offsets), threshold).drop(shared.TEXT_HASH)

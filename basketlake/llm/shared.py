@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,18 @@ CHAIN = 0xD6E8FEB86659FD93
 
 #: Text bytes that the numpy kernels handle at a time; their temporary arrays are a few times eight as large.
 CHUNK_BYTES = 1 << 19
-#: Rows of an Arrow batch while a scratch table is written; texts are long, and the usual 10,000 would be tens of MB.
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+#: Bytes and rows of an Arrow batch at most (a longer row is a batch of its own). Spark's own 64 MB would be held several
+#: times over by the JVM and each Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; a local session that has none
+    gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -46,19 +50,34 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(BATCH_SETTING)
-        self.spark.conf.set(BATCH_SETTING, BATCH_ROWS)
-        try:
-            df.write.options(**options).parquet(path)
-        finally:
-            self.spark.conf.set(BATCH_SETTING, before)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Saves a result and deletes all else of this run."""
+        kept = self.save(df, "result")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if status.getPath().getName() != "result":
+                self._delete(status.getPath().toString())
+        return kept
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded size. Spark looks the bounds up when the plan runs, so the session keeps them."""
+    for name, most in BATCHES.items():
+        df.sparkSession.conf.set(name, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,6 +87,23 @@ def narrow_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: Name of the column that tells rows of one doc_id apart while they are looked up.
+TEXT_HASH = "__text_hash"
+
+
+def hashed_documents(docs: DataFrame) -> DataFrame:
+    """narrow_documents with the hash of the text, which with doc_id tells which rows a finding is about."""
+    return narrow_documents(docs).withColumn(TEXT_HASH, F.xxhash64("text"))
+
+
+def without(docs: DataFrame, found: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of a table whose doc_id (nulls too) and text are not among those found, a stored table of doc_id and
+    TEXT_HASH; with `left_semi`, the others."""
+    keyed = docs.withColumn(TEXT_HASH, F.xxhash64(F.col("text").cast("string")))
+    found = bounded(found.select(F.col("doc_id").alias("__doc_id"), F.col(TEXT_HASH).alias("__hash")).distinct(), found)
+    return keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found["__doc_id"]) & (keyed[TEXT_HASH] == found["__hash"]), how).drop(TEXT_HASH)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with the bytes of a text column (null: empty) and its row offsets, some `most` bytes each.
 
@@ -186,13 +222,16 @@ def before_parts(totals: DataFrame, part: str, *values: str) -> DataFrame:
     return totals.select(part, *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).cast("long").alias(f"{v}_before") for v in values))
 
 
-#: Rows of some tens of bytes that may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+WIDTHS = {"bigint": 8, "double": 8, "int": 4, "float": 4, "boolean": 1}
 
 
-def bounded(stored: DataFrame) -> DataFrame:
-    """A narrow table that is read from storage, marked for broadcast where its counted size allows that."""
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+def bounded(table: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """A table of numbers, marked for broadcast where the bytes of its counted rows allow that. It is read from storage,
+    or made of a stored table that has as many rows at least."""
+    width = sum(WIDTHS[kind] for _, kind in table.dtypes)
+    return F.broadcast(table) if (stored or table).count() * width <= BROADCAST_BYTES else table
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -200,7 +239,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): neighbours move to the smallest node near
     them until only stars are left. Each round is two aggregations and joins and is stored; only whether a node is in
-    the way reaches the driver. Hubs are aggregated before they are joined, and no list of neighbours is ever built.
+    the way reaches the driver. Hubs are aggregated before they are joined, no list of neighbours is ever built, and edges
+    are dealt out by a node only where the least neighbours are too many to broadcast (AQE then splits a hub's edges).
     """
 
     def is_stars(e: DataFrame) -> bool:
@@ -211,12 +251,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now, at = scratch.save(edges.distinct(), f"{name}-0"), 0
     while not is_stars(now):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         at += 1
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large-{at}")
+        large = both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.save(large, f"{name}-edges-{at}")
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small-{at}")
+        small = large.join(bounded(least), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = scratch.save(small.where("u <> v").distinct(), f"{name}-{at}")
-        scratch.drop(f"{name}-{at - 1}")
+        scratch.drop(f"{name}-{at - 1}", f"{name}-large-{at}", f"{name}-edges-{at}", f"{name}-small-{at}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -75,7 +75,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts + 1), blob.cast(pa.binary()), rows.column(2)], names=["doc_id", "n", "ids", "tie"])
 
-    return shared.narrow_documents(docs).withColumn("tie", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, n long, ids binary, tie long")
+    return shared.mapped(shared.narrow_documents(docs).withColumn("tie", F.monotonically_increasing_id()), run, "doc_id long, n long, ids binary, tie long")
 
 
 def counted(stored: DataFrame, size: int) -> DataFrame:
@@ -89,7 +89,7 @@ def counted(stored: DataFrame, size: int) -> DataFrame:
         met = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met])], names=["id", "count"])
 
-    return stored.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return shared.mapped(stored.select("ids"), run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     dealt = stored.repartitionByRange(shared.shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    dealt.mapInArrow(join, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    shared.mapped(dealt, join, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     scratch.drop("ids")
     ranks.destroy()
 
@@ -156,4 +156,4 @@ def _documents(spark: SparkSession, path: str, column: str, made) -> DataFrame:
                 )
 
     placed = blocks.join(F.broadcast(shared.before_parts(totals, "part", "ids")), "part").select("first_id", "ids_before", "n_ids", "doc_ids", "doc_lengths", "control", "data")
-    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return shared.mapped(placed, run, f"doc_id long, start long, n_tokens long, {column}")

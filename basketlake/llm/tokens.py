@@ -2,7 +2,8 @@
 
 A byte-level BPE vocabulary splits text before each space that a visible character follows, and never merges over that
 place. So the ids of a text are those of its parts between such places, in order, and equal parts are encoded once per
-batch and remembered over batches. tests/llm compare this with whole-text encoding.
+batch and remembered over batches. A text with one of the vocabulary's added tokens is encoded whole, by the library.
+tests/llm compare this with whole-text encoding.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         visible = np.arange(256) > 32
@@ -131,8 +132,35 @@ class Encoder:
         lengths, counts = old["word_length"][kept], old["id_length"][kept]
         self.keep(gathered(old["words"], old["word_start"][kept], lengths), lengths, hash_of[kept], gathered(old["ids"], old["id_start"][kept], counts), counts)
 
+    def with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows with one of the vocabulary's added tokens, which the library cuts out of a text before anything else."""
+        held, found = data.tobytes(), set()
+        for token in self.added:
+            at = held.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    found.add(row)
+                at = held.find(token, at + 1)
+        return np.array(sorted(found), dtype=np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a part, one after another, and the number of each row's ids."""
+        whole = self.with_added(data, offsets)
+        if not len(whole):
+            return self.encode_parts(data, offsets)
+        lengths = np.diff(offsets)
+        texts = [data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in whole.tolist()]
+        lists = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths[whole] = 0  # the others without these rows
+        ids, counts = self.encode_parts(gathered(data, offsets[:-1], lengths), np.concatenate([[0], np.cumsum(lengths)]))
+        pieces = np.split(ids, np.cumsum(counts)[:-1])
+        for row, found in zip(whole.tolist(), lists, strict=True):
+            pieces[row], counts[row] = found, len(found)
+        return np.concatenate(pieces), counts
+
+    def encode_parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, of rows without added tokens."""
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)

@@ -1,14 +1,16 @@
 """Toxicity by bags of subwords: embeddings of words and their character n-grams, averaged, under a linear softmax.
 
 Vectors and softmax are trained together in numpy. An unseen misspelling shares character n-grams, and so vectors, with
-words that were learnt. Averages are over WINDOW words, at every STRIDE words of the whole text, so one insult is not
-diluted by a long text around it; a text's score is that of its windows together (a smooth maximum in training, the
-maximum in scoring). With two classes the softmax depends on each vector only through its product with the difference of
-the two output vectors, so scoring needs one number for each n-gram; a part's distinct words are scored once each.
-Training reads a sample bounded by PER_CLASS rows for each label; scoring is one pass over whole texts, no shuffle.
-
-A null or empty text has no words and gets the bias's score. Repeated rows get equal scores. An empty table gives no
-rows. With labels of one kind only, the score is that of their share. Further columns are ignored.
+words that were learnt. Averages are over the bags of all subwords of windows of WINDOW words, one at every STRIDE words
+of the whole text, so each two words that stand near each other are in one bag and an insult is not diluted by a long
+text around it; a text's score is that of its windows together (a smooth maximum in training, the maximum in scoring).
+With two classes the softmax depends on each vector only through its product with the difference of the two output
+vectors, so scoring needs one number for each n-gram; a part's distinct words are summed once each. Training reads a
+sample bounded by PER_CLASS rows and labelled.SAMPLE_BYTES; scoring is one pass over whole texts, no shuffle.
+
+A null or empty text has no words and gets the bias's score. Equal texts get equal scores: all sums are taken within a
+word, a stretch of STRIDE words, and a window. An empty table gives no rows. With labels of one kind only, the score is
+that of their share. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ PER_CLASS = 1200
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
-WINDOW, STRIDE = 1, 1
+WINDOW, STRIDE = 4, 2
 EPOCHS = 40
 RATE = 0.5
 
+
 def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of the byte n-grams of the word between two marks, word by word, and counts by word."""
     length = ends - starts + 2
@@ -56,13 +59,30 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return starts[at], ends[at], found, which
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last words (one past it) of each row's windows, row by row, and the first window of each row."""
-    n = np.diff(first)
-    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+def stretches(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the stretches of STRIDE words that each row is cut into, and the first stretch of each row."""
+    count = -(-np.diff(first) // STRIDE)
     upto = np.concatenate([[0], np.cumsum(count)])
-    a = np.repeat(first[:-1], count) + (np.arange(upto[-1]) - np.repeat(upto[:-1], count)) * STRIDE
-    return a, np.minimum(a + WINDOW, np.repeat(first[1:], count)), upto
+    return np.repeat(first[:-1], count) + (np.arange(upto[-1]) - np.repeat(upto[:-1], count)) * STRIDE, upto
+
+
+def windows(upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last stretch (one past it) of each row's windows, row by row, and the first window of each row. A row of
+    less than WINDOW words is one window."""
+    n, wide = np.diff(upto), WINDOW // STRIDE
+    count = np.where(n > 0, np.maximum(1, n - wide + 1), 0)
+    rows = np.concatenate([[0], np.cumsum(count)])
+    a = np.repeat(upto[:-1], count) + np.arange(rows[-1]) - np.repeat(rows[:-1], count)
+    return a, np.minimum(a + wide, np.repeat(upto[1:], count)), rows
+
+
+def bag_sums(values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums over windows of the words' values, by stretches."""
+    per = np.append(np.add.reduceat(values, starts), 0.0)
+    out = per[a]
+    for i in range(1, WINDOW // STRIDE):
+        out = out + np.where(a + i < b, per[np.minimum(a + i, len(per) - 1)], 0.0)
+    return out
 
 
 class Model:
@@ -77,11 +97,10 @@ class Model:
         if len(starts):
             s, e, hashes, which = distinct(data, starts, ends)
             buckets, count = grams(data, s, e, hashes)
-            upto = np.concatenate([[0], np.cumsum(count)])
-            value = labelled.row_sums(self.values[buckets], upto) / count
-            sums = np.concatenate([[0.0], np.cumsum(value[which])])
-            a, b, rows = windows(first)
-            mean = (sums[b] - sums[a]) / (b - a)
+            value = labelled.row_sums(self.values[buckets], np.concatenate([[0], np.cumsum(count)]))
+            starts, upto = stretches(first)
+            a, b, rows = windows(upto)
+            mean = bag_sums(value[which], starts, a, b) / bag_sums(count[which].astype(np.float64), starts, a, b)
             some = np.flatnonzero(np.diff(rows) > 0)
             out[some] += np.maximum.reduceat(mean, rows[:-1][some])
         return labelled.sigmoid(out)
@@ -113,8 +132,11 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     if not 0 < ones < len(labels):
         return Model(np.zeros(BUCKETS), prior)
     which, first, buckets, count = vocabulary_of(texts)
-    upto = np.concatenate([[0], np.cumsum(count)])
-    a, b, rows = windows(first)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    starts, upto = stretches(first)
+    a, b, rows = windows(upto)
+    size = bag_sums(count[which].astype(np.float64), starts, a, b)
+    per_stretch = np.diff(np.append(starts, len(which)))
     some = np.flatnonzero(np.diff(rows) > 0)
     row_first, label = rows[:-1][some], labels[some]
     per_row = np.diff(rows)[some]
@@ -127,16 +149,15 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     vectors = vectors[used]
     bias, seen_v, seen_o, seen_b = prior, np.full((len(used), 1), 1e-8, np.float32), np.full(DIM, 1e-8), 1e-8
     for _ in range(EPOCHS):
-        value = labelled.row_sums((vectors @ output)[local], upto) / count
-        sums = np.concatenate([[0.0], np.cumsum(value[which])])
-        mean = (sums[b] - sums[a]) / (b - a)
+        value = labelled.row_sums((vectors @ output)[local], ends)
+        mean = bag_sums(value[which], starts, a, b) / size
         top = np.maximum.reduceat(mean, row_first)
         rise = np.exp(np.minimum(0, mean - np.repeat(top, per_row)))
         part = rise / np.repeat(np.add.reduceat(rise, row_first), per_row)  # each window's part in its row's score
         gap = (labelled.sigmoid(np.add.reduceat(part * mean, row_first) + bias) - label) * weight / len(labels)
-        on_window = np.repeat(gap, per_row) * part / (b - a)
-        edge = np.bincount(a, on_window, len(which) + 1) - np.bincount(b, on_window, len(which) + 1)
-        on_word = np.bincount(which, np.cumsum(edge)[:-1], len(count)) / count
+        on_window = np.repeat(gap, per_row) * part / size
+        edge = np.bincount(a, on_window, len(starts) + 1) - np.bincount(b, on_window, len(starts) + 1)
+        on_word = np.bincount(which, np.repeat(np.cumsum(edge)[:-1], per_stretch), len(count))
         on_bucket = np.bincount(local, np.repeat(on_word.astype(np.float32), count), len(used)).astype(np.float32)
         on_output = on_bucket @ vectors
         seen_v += on_bucket[:, None] ** 2 * np.float32(output @ output)
@@ -150,8 +171,18 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     return Model(values, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of the documents."""
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, per_class: int) -> DataFrame:
     model = train(*labelled.sample(docs, labels, "toxic", per_class))
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
     return labelled.scored(docs, lambda data, offsets: held.value.score(data, offsets), threshold)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of the documents."""
+    return _scored(docs, labels, threshold, per_class).drop(shared.TEXT_HASH)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows whose text has a lower score. Rows that repeat a doc_id, or have none, are each judged by their own text."""
+    rejected = _scored(docs, labels, threshold, per_class).where("predicted = 1").select("doc_id", shared.TEXT_HASH)
+    return shared.without(docs, shared.Scratch(docs.sparkSession, "toxic").save(rejected, "rejected"))

@@ -60,12 +60,25 @@ def test_components_equal_brute_force(spark, n, percent):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute(list(range(len(texts))), texts, n, percent)
 
 
-def test_large_families_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FAMILY", 10)
+@pytest.mark.parametrize("unit", [1500, 6000])
+def test_large_families_in_blocks(spark, monkeypatch, unit):
+    """Copies that all link, chains whose ends don't, and texts that share most words without linking, all in one family."""
+    monkeypatch.setattr(jaccard, "UNIT", unit)
     rng, base = random.Random(1), words(200, 7)
-    texts = [edited(base, rng.randrange(12), rng) for _ in range(60)]
+    texts = [edited(base, rng.randrange(12), rng) for _ in range(40)]
+    texts += [" ".join(base.split()[:120]) + " " + words(60, 300 + i) for i in range(10)]
+    chain = base
+    for _ in range(20):
+        texts.append(chain)
+        chain = " ".join(chain.split()[3:]) + " " + words(3, rng.randrange(10**6))
     got = jaccard.jaccard_components(documents(spark, texts), 4, 85).collect()
-    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute(list(range(60)), texts, 4, 85)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute(list(range(len(texts))), texts, 4, 85)
+
+
+def test_known_components_are_not_walked_again():
+    sets = [np.arange(i, i + 20, dtype=np.uint32) for i in (0, 1, 50, 51)]
+    assert jaccard.linked(sets, 85, np.array([9, 9, 8, 7])).tolist() == [0, 0, 2, 2]
+    assert jaccard.linked([sets[0], sets[2]], 85, np.array([5, 5])).tolist() == [0, 0]
 
 
 def test_odd_rows(spark):
@@ -100,3 +113,10 @@ def test_dropping_keeps_one_of_each_group(spark):
     texts = [base, base + " x", words(50, 4), None, "", base]
     kept = jaccard.drop_near_copies(documents(spark, texts)).collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 2, 3, 4]
+
+
+def test_dropping_looks_at_texts_not_ids_alone(spark):
+    base, other = words(50, 3), words(50, 5)
+    rows = [(1, base, "a"), (1, base, "b"), (1, other, "c"), (2, base + " x", "d"), (None, base, "e"), (None, words(40, 9), "f"), (None, words(40, 9), "g"), (7, "", "h"), (7, "", "h")]
+    kept = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", base), ("1", other), ("None", words(40, 9)), ("7", ""), ("7", "")])

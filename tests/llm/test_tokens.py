@@ -21,7 +21,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -34,16 +33,25 @@ def encoded(texts):
     return out
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab's  \n\t1.,  　é<|>"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=6))
+PLAIN = st.text(alphabet=st.one_of(st.sampled_from("ab's  \n\t1.,  　é<|>"), st.characters(exclude_categories=["Cs"])), max_size=40)
+ADDED = st.lists(st.one_of(PLAIN, st.just("<|endoftext|>"), st.just("<|endoftext")), max_size=5).map("".join)
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.one_of(PLAIN, ADDED), max_size=6))
 def test_parts_give_the_ids_of_the_whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     assert encoded(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_added_tokens_are_one_id(plain):
+    texts = ["a <|endoftext|> b", "", "plain <text> only", "x<|endoftext|>", "<|endoftext|><|endoftext|> " * 3, "<|endof", "text|>"]
+    got = encoded(texts)
+    assert got == [plain(t) for t in texts] and got[0] == [64, 220, 50256, 275]
+
+
 def test_forgetting_keeps_ids_right(plain, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     monkeypatch.setattr(tokens, "_encoders", {})
