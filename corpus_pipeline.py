@@ -12,10 +12,8 @@ from basketlake.llm import decontam, jaccard, packing, pii, queries, shared, tox
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents whose toxicity score is 0.5 or more. A null doc_id can't be told from another; it stays."""
-    scores = toxicity.score_toxicity(docs, queries.labels(spark, sf_dir))
-    rejected = shared.Scratch(spark, "toxic").save(scores.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(shared.bounded(rejected), "doc_id", "left_anti").select(*docs.columns)
+    """Rejects the documents whose toxicity score is 0.5 or more. Each row goes by its own text, whatever its doc_id."""
+    return toxicity.drop_toxic(docs, queries.labels(spark, sf_dir)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
