@@ -9,14 +9,15 @@
    divided by the singular values, else the few directions that tell languages apart outweigh all others.
 4. Search. At every passage of every text, windows somewhat longer than each item are projected and held against the
    items of that length by cosine. Windows around which too few of the items' answer terms (step 5) occur at all are
-   left out first; no item could pass its check there. An item with fewer than ANSWERS weighted terms (one that leaks so
-   widely that its own terms are common, one of a tiny table, one of common words only) isn't searched by cosine: each
-   window that has enough of its answer terms is a candidate, which leaves out none that could pass.
+   left out first; no item could pass its check there. An item of whose answer terms less than WEIGHTED have a weight (one
+   that leaks so widely that its own terms are common, one of a tiny table, one of common words only) isn't searched by
+   cosine: each window that has enough of its answer terms is a candidate, which leaves out none that could pass.
 5. Checks. For a candidate, the longest common subsequence of the item and the words around the window, as a share of the
-   item; and the item's ANSWERS rarest terms, as a share found there. A leak has LCS_SURE of the item in order and
-   ANSWERS_SOME of those terms, or LCS_LEAST and ANSWERS_MOST.
+   item; and the rarer half of the item's terms (ANSWERS at least), as a share found there. A leak has LCS_SURE of the
+   item in order and ANSWERS_SOME of those terms, or LCS_LEAST and ANSWERS_MOST.
 
-The benchmark is handled in blocks of ITEMS items, which bounds what is broadcast and what the driver holds.
+The benchmark is handled in blocks of ITEMS items or ITEM_BYTES, which bounds what is broadcast and what the driver holds;
+the corpus is coded once for CODED blocks.
 
 Null and empty texts have no leaks, nor do items without a word. An item that occurs twice in a text gives its
 better place. Repeated rows are each searched; a null doc_id stays null. Empty tables give no rows. Further columns are
@@ -37,17 +38,17 @@ from pyspark.sql import functions as F
 
 from basketlake.llm import labelled, shared
 
-#: Items that are searched for at a time, about.
-ITEMS = 5000
+#: Items that are searched for at a time, about, and their bytes; blocks of items for which the corpus is coded at once.
+ITEMS, ITEM_BYTES, CODED = 5000, 4 << 20, 8
 STRIDE = 16
 RANK, EXTRA = 64, 8
 #: Terms in more than this share of all passages have no weight.
 COMMON = 0.01
 COSINE = 0.3
-ANSWERS = 5
+ANSWERS, WEIGHTED = 5, 0.8
 LCS_SURE, ANSWERS_SOME = 0.75, 0.4
 LCS_LEAST, ANSWERS_MOST = 0.5, 0.6
-HITS = "doc_id long, item_id long, start_word int, cosine double, lcs_share double, answer_share double"
+HITS = f"doc_id long, {shared.TEXT_HASH} long, item_id long, start_word int, cosine double, lcs_share double, answer_share double"
 
 
 def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,45 +136,77 @@ def plain_cosine(item: np.ndarray, words: np.ndarray, idf: np.ndarray) -> float:
     return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-30))
 
 
+def answer_terms(item: np.ndarray, idf: np.ndarray) -> set[int]:
+    """The rarer half of the item's terms, ANSWERS at least. Not fewer: where one paraphrase of an item is copied often,
+    the words that it leaves out are the rarest of all."""
+    terms = sorted(set(item.tolist()), key=lambda c: (-idf[c], c))
+    return set(terms[: max(ANSWERS, -(-len(terms) // 2))])
+
+
 def answers_needed(terms: set[int]) -> int:
     return max(1, math.ceil(ANSWERS_SOME * len(terms)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, cosine, lcs_share, answer_share of each item in each document that has it."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null and item_id is not null")
-    scratch = shared.Scratch(docs.sparkSession, "decontam")
-    wanted = max(1, -(-items.count() // ITEMS))
-    items = scratch.save(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(wanted))), "items")
-    blocks = sorted(r["block"] for r in items.select("block").distinct().collect())
-    found = [_leaks_of_block(docs, items.where(F.col("block") == b).collect(), shared.Scratch(docs.sparkSession, f"decontam-{b}")) for b in blocks]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
+    return _found(docs, benchmark).drop(shared.TEXT_HASH)
 
 
-def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    words, first = hashes_of(*labelled.as_part([r["text"] for r in items]))
-    vocabulary = Vocabulary(words)
-    held = spark.sparkContext.broadcast(vocabulary)  # 12 bytes or so a word of the items
-    kind, unknown = vocabulary.kind, vocabulary.size
+    scratch = shared.Scratch(spark, "decontam")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null and item_id is not null")
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    wanted = max(1, -(-size["n"] // ITEMS), -(-(size["bytes"] or 0) // ITEM_BYTES))
+    items = scratch.save(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(wanted))), "items")
+    blocks = sorted(r["block"] for r in items.select("block").distinct().collect())
+    found = []
+    for i in range(0, len(blocks), CODED):  # the corpus is read and hashed once for so many blocks
+        held = items.where(F.col("block").isin(blocks[i : i + CODED])).collect()
+        words, _ = hashes_of(*labelled.as_part([r["text"] for r in held]))
+        vocabulary = Vocabulary(words)
+        coded = _coded(docs, vocabulary, scratch, f"codes-{i}")
+        for b in blocks[i : i + CODED]:
+            found.append(_leaks_of_block(coded, vocabulary, [r for r in held if r["block"] == b], scratch, f"leaks-{b}"))
+        scratch.drop(f"codes-{i}")
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], HITS)
+
+
+def _coded(docs: DataFrame, vocabulary: Vocabulary, scratch: shared.Scratch, name: str) -> DataFrame:
+    """doc_id, hash of the text, codes of all words."""
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary)  # 12 bytes or so a word of the items
+    kind = vocabulary.kind
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in shared.slices(batch):
                 found, upto = hashes_of(data, offsets)
-                codes = held.value.codes(found).astype(kind)
+                codes = given.value.codes(found).astype(kind)
                 bounds = (upto * codes.itemsize).astype(np.int64)
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(codes)])
-                yield pa.RecordBatch.from_arrays([rows.column(0), blob.cast(pa.binary())], names=["doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), blob.cast(pa.binary())], names=["doc_id", shared.TEXT_HASH, "codes"])
+
+    lowered = shared.hashed_documents(docs).withColumn("text", F.lower("text"))
+    return scratch.save(shared.mapped(lowered, code, f"doc_id long, {shared.TEXT_HASH} long, codes binary"), name, compression="zstd")
+
+
+def _leaks_of_block(coded: DataFrame, vocabulary: Vocabulary, items: list, scratch: shared.Scratch, name: str) -> DataFrame:
+    spark = coded.sparkSession
+    kind = vocabulary.kind
+    words, first = hashes_of(*labelled.as_part([r["text"] for r in items]))
+    words = vocabulary.codes(words)
+    mine = np.unique(words)
+    unknown = len(mine)
+    local = np.full(vocabulary.size + 1, unknown, dtype=np.int32)  # the block's own codes of the vocabulary's words
+    local[mine] = np.arange(unknown)
+    own_code = spark.sparkContext.broadcast(local)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Rows, codes, first word of each row, first words of the passages, first passage of each row."""
         for batch in batches:
             for rows, data, offsets in shared.slices(batch, text="codes"):
                 upto = offsets // np.dtype(kind).itemsize
-                yield rows, data.view(kind).astype(np.int64), upto, *passages(upto)
-
-    coded = scratch.save(shared.mapped(shared.narrow_documents(docs).withColumn("text", F.lower("text")), code, "doc_id long, codes binary"), "codes", compression="zstd")
+                yield rows, own_code.value[data.view(kind)].astype(np.int64), upto, *passages(upto)
 
     # each task adds up before it sends a row a term, so few tasks with much input send least
     gathered = coded.select("codes").coalesce(4 * spark.sparkContext.defaultParallelism)
@@ -228,13 +261,13 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
         product[r["code"]] = r[1:]
     basis = singular_vectors(product, random.astype(np.float64))[:, :RANK].astype(np.float32) * weight[:, None]
 
-    codes = [vocabulary.codes(words[a:b]).astype(np.int64) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+    codes = [local[words[a:b]].astype(np.int64) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
     vectors = np.array([basis[c].sum(axis=0) for c in codes]).reshape(len(codes), -1)
     kept = [i for i, c in enumerate(codes) if len(c)]
-    rarest = [set(sorted(set(codes[i].tolist()), key=lambda c: (-idf[c], c))[:ANSWERS]) for i in kept]
+    rarest = [answer_terms(codes[i], idf) for i in kept]
     vectors = vectors[kept]
     norms = np.linalg.norm(vectors, axis=1)
-    usual = np.array([(weight[list(terms)] > 0).sum() >= ANSWERS for terms in rarest], dtype=bool) & (norms > 0)
+    usual = np.array([(weight[list(terms)] > 0).mean() >= WEIGHTED for terms in rarest], dtype=bool) & (norms > 0)
     vectors = np.where(usual, 1 / np.maximum(norms, 1e-30), 0)[:, None] * vectors
     asking = sorted((c, j) for j, terms in enumerate(rarest) if not usual[j] for c in terms)
     upto = np.searchsorted(np.array([c for c, _ in asking], dtype=np.int64), np.arange(unknown + 2))
@@ -275,7 +308,7 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
             wanted = np.repeat(np.cumsum(need)[:count] > 0, np.diff(np.append(starts, len(codes))))
             at = np.flatnonzero(wanted & (x.weight[codes] > 0))
             best: dict[tuple[int, int], tuple] = {}
-            doc_ids = rows.column(0).to_pylist()
+            doc_ids, text_hashes = rows.column(0).to_pylist(), rows.column(1).to_pylist()
 
             def check(w: int, item: int, cosine: float | None) -> None:
                 r, k = int(row[w]), int(reach[item])
@@ -311,11 +344,11 @@ def _leaks_of_block(docs: DataFrame, items: list, scratch: shared.Scratch) -> Da
                 for w in windows[enough].tolist():
                     check(w, item, None)
             if best:
-                out = [(doc_ids[r], x.ids[item], start, cosine, lcs, answers) for (r, item), (lcs, answers, cosine, start) in best.items()]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+                out = [(doc_ids[r], text_hashes[r], x.ids[item], start, cosine, lcs, answers) for (r, item), (lcs, answers, cosine, start) in best.items()]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[h.split()[0] for h in HITS.split(", ")])
 
-    return scratch.save(shared.mapped(coded, search, HITS), "leaks") if kept else spark.createDataFrame([], HITS)
+    return scratch.save(shared.mapped(coded, search, HITS), name) if kept else spark.createDataFrame([], HITS)
 
 
 def singular_vectors(product: np.ndarray, random: np.ndarray) -> np.ndarray:
@@ -331,7 +364,6 @@ def singular_vectors(product: np.ndarray, random: np.ndarray) -> np.ndarray:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The table without the documents that have an item."""
+    """The rows whose text has no item; rows that repeat a doc_id, or have none, are each judged by their own text."""
     scratch = shared.Scratch(docs.sparkSession, "leaks")
-    dropped = scratch.save(find_leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return docs.join(shared.bounded(dropped), "doc_id", "left_anti")
+    return shared.without(docs, scratch.save(_found(docs, benchmark).select("doc_id", shared.TEXT_HASH), "found"))
