@@ -38,25 +38,25 @@ def mosaic(top: int, left: int, height: int, width: int, gain: float, lift: floa
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings drawn as mosaics. Queries: the rows whose vec_id is divisible by 100, cropped, darkened and with
-    another contrast. One row for each query and different image that it is a copy of: query_id, vec_id (the smallest
-    row of the image), copies (rows that have the image), matches (keypoints that agree); a query without one has nulls.
-    Below them, with query_id null, one row for each further row of the images found: vec_id (as above), copy_id."""
+    another contrast. One row for each row of the table, with the class of queries that it is a copy of; further rows for
+    further classes: vec_id, image_class (the smallest row of the same image), copy_of (the class, null for none), links
+    (queries in that class), matches (keypoints that agree). A query also has its own class, asked_class. Row i is a copy
+    of query q where copy_of of i is asked_class of q, so all links are here, in rows that grow with the table."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     scratch = shared.Scratch(spark, "mosaics")
-    images = scratch.save(rows.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies")), "images")
+    keys = [F.xxhash64("embedding").alias("k1"), F.hash("embedding").alias("k2")]
+    images = rows.groupBy("embedding").agg(F.min("vec_id").alias("class")).select("*", *keys)
+    images = scratch.save(images, "images")
     dealt = images.repartition(4 * spark.sparkContext.defaultParallelism, "class")  # drawing is the work, not reading
     whole = dealt.select("class", mosaic(0, 0, SIDE, SIDE, 1.0, 0.0).alias("pixels"), F.lit(SIDE).alias("height"))
     edited = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), mosaic(5, 3, SIDE - 8, SIDE - 6, 0.8, -12.0).alias("pixels"), F.lit(SIDE - 8).alias("height"))
-    found = scratch.save(media.copy_groups(whole, edited).join(images.select("class", "copies"), "class"), "found")
-    pairs = edited.select("query").distinct().join(found, "query", "left").select(F.col("query").alias("query_id"), F.col("class").alias("vec_id"), "copies", "matches", F.lit(None).cast("long").alias("copy_id"))
-
-    # a class's rows once, not once a query: a group of exact copies may be as large as the table
-    several = images.join(found.where("copies > 1").select("class").distinct(), "class", "left_semi")
-    keys = [F.xxhash64("embedding").alias("k1"), F.hash("embedding").alias("k2")]
-    several = scratch.save(several.select("class", *keys), "several")
-    members = rows.select("vec_id", *keys).join(shared.bounded(several), ["k1", "k2"]).where("vec_id <> class")
-    nothing = [F.lit(None).cast("long").alias(c) for c in ("copies", "matches")]
-    return pairs.unionByName(members.select(F.lit(None).cast("long").alias("query_id"), F.col("class").alias("vec_id"), *nothing, F.col("vec_id").alias("copy_id")))
+    classes, found = media.copy_classes(whole, edited)
+    links = classes.groupBy("asked_class").agg(F.count("*").alias("links"))
+    found = found.join(links, "asked_class").join(images.select("class", "k1", "k2"), "class")
+    found = scratch.save(found.select("k1", "k2", F.col("class").alias("image_class"), F.col("asked_class").alias("copy_of"), "links", "matches"), "found")
+    own = classes.withColumnRenamed("query", "vec_id")
+    out = rows.select("vec_id", *keys).join(shared.bounded(found), ["k1", "k2"], "left").join(shared.bounded(own), "vec_id", "left")
+    return out.select("vec_id", "image_class", "copy_of", "links", "matches", "asked_class")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
