@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 #: Unbounded numerics of the source model get this bound.
 NUMERIC = "decimal(38,10)"
 MONEY = "decimal(10,2)"
-DATABASE = "grocery"
 
 # Column names and types of the records, in table order.
 STAGING = {
@@ -51,6 +50,9 @@ PROMOTION_ITEMS = {
     "discount_rate": NUMERIC,
 }
 
+#: Rows and files that a load set aside: what they were meant for, where from, why, and the row as JSON.
+REJECTED = {"target": "string", "source_file": "string", "reason": "string", "row": "string"}
+
 TABLES = {
     "products": {c: STAGING[c] for c in PRODUCTS},
     "product_prices": {c: STAGING[c] for c in PRICES},
@@ -59,6 +61,7 @@ TABLES = {
     "promotions": PROMOTIONS,
     "promotion_groups": PROMOTION_GROUPS,
     "promotion_items": PROMOTION_ITEMS,
+    "rejected": REJECTED,
 }
 KEYS = {
     "products": ["item_code"],

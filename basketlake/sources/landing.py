@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from basketlake.functions import text
 from basketlake.functions.text import Feed
-from basketlake.operators.latest import first_per_key
+from basketlake.operators.latest import first_per_key, latest_daily_snapshots
 
 LISTING = "path string, file_name string, extract_type string, chain string, length long, modified timestamp"
 #: Caps of a trial run; a full run has none.
@@ -39,10 +39,22 @@ def require_files(listing: DataFrame, folder: str, feed: Feed) -> DataFrame:
     return listing
 
 
+def _placed(files: DataFrame, entries: Column) -> DataFrame:
+    """One row for each entry of whole files (path, value), with `position`: its place over all files in order of path."""
+    order = files.select("path").withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)  # a row a listing file
+    listed = files.select("path", F.posexplode(entries).alias("place", "entry"))
+    placed = listed.join(F.broadcast(order), "path")
+    return placed.select("entry", (F.col("file").cast("long") * (1 << 32) + F.col("place")).alias("position"))
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_manifest_json(spark: SparkSession, path: str, file_type: str) -> DataFrame:
-    """Entries of a JSON listing of one type, in any case; position is their place in the listing."""
-    listed = spark.read.schema(MANIFEST).json(path, multiLine=True)
-    return wanted_entries(listed, file_type)
+    """Entries of a JSON listing of one type, in any case; position is their place in the whole listing."""
+    entries = F.from_json("value", f"array<struct<{', '.join(f'{x.split()[0]}: {x.split()[1]}' for x in MANIFEST.split(', '))}>>")
+    return wanted_entries(_placed(_whole_files(spark, path), entries).select("entry.*", "position"), file_type)
 
 
 def wanted_entries(listed: DataFrame, file_type: str) -> DataFrame:
@@ -50,8 +62,8 @@ def wanted_entries(listed: DataFrame, file_type: str) -> DataFrame:
 
 
 def read_manifest_names(spark: SparkSession, path: str) -> DataFrame:
-    """`name`, one a line; `position`."""
-    return spark.read.text(path).select(F.col("value").alias("name"), F.monotonically_increasing_id().alias("position"))
+    """`name`, one a line; position as above. Blank lines are no names."""
+    return _placed(_whole_files(spark, path), F.split("value", "\r?\n")).select(F.col("entry").alias("name"), "position").where("name <> ''")
 
 
 def snapshots_of_names(names: DataFrame, feed: Feed, chain: str | None = None, store: str | None = None) -> DataFrame:
@@ -102,6 +114,13 @@ def new_links(links: DataFrame, max_pages: int | None = None) -> DataFrame:
     return first.join(stop, "page", "left_semi").select(*named.columns)
 
 
+def select_snapshots(snapshots: DataFrame, landed: DataFrame, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(to fetch, already landed): the newest snapshot of each store, of the newest day; `max_files` of them in a trial.
+    Payloads are names or addresses; file_name, a name's last segment, tells whether it has landed."""
+    chosen = latest_daily_snapshots(snapshots, max_files).withColumn("file_name", text.file_name_of(F.col("payload")))
+    return skip_existing(chosen, landed)
+
+
 def skip_existing(selected: DataFrame, landed: DataFrame, key: str = "file_name") -> tuple[DataFrame, DataFrame]:
     """(to fetch, already landed) of the selected files; both are parsed later."""
     names = landed.select(key)

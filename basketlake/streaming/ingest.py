@@ -6,53 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from basketlake import schemas
-from basketlake.functions import text
-from basketlake.operators.coerce import cast_to_table
-from basketlake.operators.latest import latest_prices, latest_products
-from basketlake.operators.upsert import upsert
 from basketlake.plans import jobs
-from basketlake.sources import documents
 from basketlake.sources.tables import Tables
 
 
-def stream_ingest(tables: Tables, folder: str, extract_type: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-    """Starts a run over all files of a data set that no earlier run with this checkpoint has merged. Rows with a value
-    of the wrong type are left out. Merging a batch again gives the same tables, so a restart is safe."""
+def stream_ingest(tables: Tables, folder: str, extract_type: str, checkpoint: str, max_files: int = 1000, options: jobs.Options | None = None) -> StreamingQuery:
+    """Starts a run over all files of a data set that no earlier run with this checkpoint has merged. Each batch of files
+    goes through the same load, with the same checks, as a folder does; rows and files that can't be used are stored as
+    rejected. Merging a batch again gives the same tables, so a restart is safe; what it rejects is then listed again."""
     feed = jobs.FEEDS[extract_type]
+    options = options or jobs.Options(mode="quarantine")
     reader = tables.spark.readStream.option("ignoreCorruptFiles", True).option("pathGlobFilter", feed.glob).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
     files = reader.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("content"))
 
     def merge(batch: DataFrame, _: int) -> None:
-        parsed = documents.usable(documents.parse_documents(batch, feed), feed).persist()
-        MERGES[extract_type](tables, parsed)
-        parsed.unpersist()
+        jobs.LOADS[extract_type](tables, None, batch, options)
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _typed(rows: DataFrame, columns: dict[str, str], *places: str) -> DataFrame:
-    kinds = columns | {p: "long" for p in places} | ({} if "source_file" in columns else {"source_file": "string"})
-    return cast_to_table(rows.select(*(F.col(c).cast("string").alias(c) for c in kinds)), kinds, "quarantine")[0]
-
-
-def _prices(tables: Tables, parsed: DataFrame) -> None:
-    staging = _typed(documents.price_rows(parsed), schemas.STAGING).persist()
-    tables.overwrite("products", upsert(tables.read("products"), latest_products(staging), schemas.KEYS["products"]))
-    jobs.merge_into(tables, "product_prices", latest_prices(staging))
-    staging.unpersist()
-
-
-def _stores(tables: Tables, parsed: DataFrame) -> None:
-    jobs.merge_into(tables, "stores", _typed(documents.store_rows(parsed), schemas.STORES, "position"), position=["source_file", "position"])
-
-
-def _promotions(tables: Tables, parsed: DataFrame) -> None:
-    trees = documents.promotion_trees(parsed).persist()
-    places = (["position"], ["position", "group_at"], ["position", "group_at", "item_at"])
-    for name, rows, at in zip(("promotions", "promotion_groups", "promotion_items"), documents.flatten_promotions(trees), places, strict=True):
-        jobs.merge_into(tables, name, _typed(rows, schemas.TABLES[name], *at), position=["source_file", *at])
-    trees.unpersist()
-
-
-MERGES = {"price_full": _prices, "stores": _stores, "promo_full": _promotions}

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import datetime
 import gzip
+import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from basketlake import schemas
 from basketlake.functions import text
 from basketlake.plans import jobs
 from basketlake.sources import documents, landing
@@ -145,18 +149,112 @@ def test_stream_takes_each_file_once(spark, landed, tables, tmp_path):
 
 
 def test_tables(spark, tables, tmp_path):
-    assert [r[0] for r in tables.names().collect()] == sorted(["products", "product_prices", "products_staging", "stores", "promotions", "promotion_groups", "promotion_items"])
+    assert [r[0] for r in tables.names().collect()] == sorted(["products", "product_prices", "products_staging", "stores", "promotions", "promotion_groups", "promotion_items", "rejected"])
     tables.create()
-    df = spark.createDataFrame([(1, "א", None, " "), (2, "b", None, "")], "a int, b string, c int, d string")
+    df = spark.createDataFrame([(1, "א", None, " \t"), (2, "b", None, "\n")], "a int, b string, c int, d string")
     assert drop_empty_columns(df).columns == ["a", "b"]
     write_csv(df.select("a", "b"), str(tmp_path), "fresh")
     back = spark.read.option("header", True).csv(str(tmp_path / "fresh_products.csv"))
     assert sorted(map(tuple, back.collect())) == [("1", "א"), ("2", "b")]
 
 
+def test_a_load_writes_its_own_days_only(spark, landed, tables):
+    jobs.run(tables, str(landed), "fresh", "price_full")
+    before = dict(tables._current("product_prices"))
+    pack(landed / "price_full" / "fresh2" / "PriceFull7290027600007-001-009-20260723-030000.gz", PRICE.format(store="9", items=ITEM.format(code="7290001", price="9")))
+    jobs.run(tables, str(landed), "fresh2", "price_full")
+    after = dict(tables._current("product_prices"))
+    assert tables.days("product_prices") == ["2026-07-22", "2026-07-23"] and tables.rows("product_prices") == 3
+    assert set(before) < set(after) and [n for f, n in after.items() if f not in before] == [1]
+    for _ in range(3):  # old versions go, with the folders that only they list
+        jobs.run(tables, str(landed), "fresh2", "price_full")
+    folders = {p.parent.name + "/" + p.name for p in Path(tables.root, "product_prices", "data").glob("write=*/extraction_date=*")}
+    assert len(folders) == 3 and set(dict(tables._current("product_prices"))) <= folders
+
+
+class Stopped(Exception):
+    pass
+
+
+class Stopping:
+    """A file system that stops before its k-th change."""
+
+    def __init__(self, fs, left):
+        self.fs, self.left = fs, left
+
+    def __getattr__(self, name):
+        def call(*args):
+            if name in ("create", "rename", "delete", "mkdirs"):
+                if self.left[0] == 0:
+                    raise Stopped
+                self.left[0] -= 1
+            return getattr(self.fs, name)(*args)
+
+        return call
+
+
+def test_a_write_that_stops_anywhere_loses_nothing(spark, tmp_path, monkeypatch):
+    store = lambda i: spark.createDataFrame([(1, i)], "chain_id long, store_id int")
+    full = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in schemas.STORES.items()))
+    tables = Tables(spark, str(tmp_path / "t"))
+    tables.create()
+    for i in range(3):
+        tables.overwrite("stores", full(store(i)))
+    real, last = Tables._fs, 2
+    for stop in range(12):
+        left = [stop]
+        monkeypatch.setattr(Tables, "_fs", lambda self: Stopping(real(self), left))  # noqa: B023
+        try:
+            tables.overwrite("stores", full(store(100 + stop)))
+            ended = True
+        except Stopped:
+            ended = False
+        monkeypatch.setattr(Tables, "_fs", real)
+        again = Tables(spark, str(tmp_path / "t"))
+        again.create()
+        (now,) = [r["store_id"] for r in again.read("stores").collect()]
+        assert now in (last, 100 + stop) and (now == 100 + stop or not ended)
+        last = now
+    assert ended
+
+
+def test_rejected_rows_and_files_are_kept(spark, landed, tables):
+    items = ITEM.format(code="7290001", price="7.90") + ITEM.format(code="x1", price="3") + ITEM.format(code="5", price="")
+    pack(landed / "price_full" / "odd" / "PriceFull7290027600007-001-001-20260722-030000.gz", PRICE.format(store="1", items=items))
+    pack(landed / "price_full" / "odd" / "PriceFull7290027600007-001-002-20260722-030000.gz", "<Root><Items>")
+    metrics = jobs.run(tables, str(landed), "odd", "price_full", jobs.Options(mode="quarantine"))
+    assert metrics.counts["products_staging_rejected"] == 1 and metrics.counts["products_staging_incomplete"] == 1 and metrics.counts["product_prices"] == 1
+    kept = {(r["target"], r["reason"]): r["row"] for r in tables.read("rejected").collect()}
+    assert set(kept) == {("PriceFull file", "malformed"), ("products_staging", "not of the type of item_code"), ("products_staging", "no item_price")}
+    assert '"item_code":"x1"' in kept["products_staging", "not of the type of item_code"]
+
+
+def test_listing_to_load(spark, landed, tables, tmp_path):
+    """A JSON manifest: newest day, newest time of each store, what has landed is loaded, the rest is to be fetched."""
+    name = "PriceFull7290027600007-001-00{}-202607{}-0{}0000.gz".format
+    listed = [(name(1, 22, 3), "2026-07-22 03:00:00", 1), (name(1, 22, 4), "2026-07-22 04:00:00", 1), (name(8, 22, 4), "2026-07-22 04:00:00", 8), (name(9, 21, 9), "2026-07-21 09:00:00", 9)]
+    entries = [{"fileType": "pricefull", "fileName": n, "fileDate": d, "branchNumber": b} for n, d, b in listed]
+    (tmp_path / "m.json").write_text(json.dumps(entries))
+    (tmp_path / "n.txt").write_text("\r\n".join(n for n, _, _ in listed) + "\n\nreadme\n")
+    by_json = landing.snapshots_of_manifest(landing.read_manifest_json(spark, str(tmp_path / "m.json"), "PriceFull"))
+    by_name = landing.snapshots_of_names(landing.read_manifest_names(spark, str(tmp_path / "n.txt")), text.PRICE_FULL)
+    for snapshots in (by_json, by_name):
+        metrics, fetch = jobs.run_listed(tables, snapshots, str(landed), "fresh", "price_full")
+        assert [r["file_name"] for r in fetch.collect()] == [name(8, 22, 4)] and metrics.counts["files"] == 1
+        assert [(r["item_code"], str(r["item_price"])) for r in tables.read("product_prices").collect()] == [(7290001, "8.10")]
+    links = spark.createDataFrame([(f"https://h.example/p/{n}?s={i}", i) for i, (n, _, _) in enumerate(listed)], "url string, position int")
+    metrics, fetch = jobs.run_listed(tables, landing.snapshots_of_links(links, text.PRICE_FULL), str(landed), "fresh", "price_full", jobs.Options.trial())
+    assert metrics.counts["files"] == 1 and fetch.count() == 1
+    assert jobs.run_listed(tables, by_name.where("false"), str(landed), "fresh", "price_full")[0].counts == {"files": 0}
+
+
+def test_trial_takes_a_few_files(landed, tables):
+    assert jobs.run(tables, str(landed), "fresh", "price_full", jobs.Options.trial()).counts["files"] == landing.TRIAL_FILES
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"fileType":"PriceFull","fileName":"a.gz","fileDate":"2026-08-16 05:05:00","branchNumber":4},{"fileType":"promo"},{"fileName":"x"}]')
-    assert [tuple(r) for r in landing.read_manifest_json(spark, str(tmp_path / "m.json"), "pricefull").collect()] == [("PriceFull", "a.gz", "2026-08-16 05:05:00", "4")]
+    assert [tuple(r) for r in landing.read_manifest_json(spark, str(tmp_path / "m.json"), "pricefull").collect()] == [("PriceFull", "a.gz", "2026-08-16 05:05:00", "4", 0)]
     (tmp_path / "n.txt").write_text("PromoFull7290058140886-001-039-20260817-030000.gz\nPromoFull7290058140886-001-001-20260816-030000.gz\nreadme\n")
     names = landing.read_manifest_names(spark, str(tmp_path / "n.txt"))
     assert [r["store_id"] for r in landing.snapshots_of_names(names, text.PROMO_FULL, text.EXCLUDED_CHAIN, text.EXCLUDED_STORE).collect()] == ["001"]
