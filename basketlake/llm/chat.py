@@ -5,25 +5,27 @@ are normalised (lower case, one space between words) and hashed, whole and by th
 is hashed likewise: whole, by paragraph and by line. Joins on the hash give each passage the first message that has it,
 in the same conversation before the quoting turn, else in any other. A message replies to the latest message of its own
 conversation that its shallowest linked passages come from, else to the turn before it; so parents come earlier, and the
-rows of a conversation by turn are in reply order.
+rows of a conversation by turn, and of a turn by `repeat`, are in reply order. `assembled` joins them to conversations.
 
 Hashes are aggregated to their first message before they are joined, so a passage that very many messages share is one
 row, and no conversation is collected anywhere. Only messages with quotes are split into lines on that side.
 
 A null text counts as empty. Quotes that nothing matches are removed all the same and counted. Rows that repeat
-(conv_id, turn) are each formatted; they are one message for links. Null conv_id or turn: quotes are removed, nothing
+(conv_id, turn) are each formatted, numbered by their text and role; they are one message for links. Null conv_id or turn: quotes are removed, nothing
 is linked. A null role is written as "unknown". An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlake.llm import shared
 
 QUOTE = r"^(?: {0,3}>)++"  # possessive, so that many levels need no stack
 ATTRIBUTION = r"(?i)^on .* wrote:\s*$"
+#: Turns, and rows of one turn, of an assembled piece at most.
+PIECE = 1000
 
 
 def _normal(text: Column) -> Column:
@@ -57,7 +59,7 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
 
 
 def unquoted_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), formatted, reply_to_turn, n_passages, n_linked, source_conv_id,
+    """conv_id, turn, repeat (0, 1, ... of the rows with this turn), role, text (without quotes), formatted, reply_to_turn, n_passages, n_linked, source_conv_id,
     source_turn (of the first passage that comes from another conversation)."""
     columns = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
     raw = conversations.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
@@ -90,7 +92,27 @@ def unquoted_conversations(conversations: DataFrame) -> DataFrame:
     )
     before = raw.where("conv_id is not null and turn is not null").select("conv_id", (F.col("turn") + 1).alias("turn")).distinct().withColumn("before", F.col("turn") - 1)
     out = raw.join(summed, ["conv_id", "turn", "message"], "left").join(before, ["conv_id", "turn"], "left").withColumn("clean", _own(F.col("text")))
+    several = Window.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_first("clean"), F.asc_nulls_first("role"))
+    out = out.withColumn("repeat", F.row_number().over(several).cast("long") - 1)
     return out.select(
-        "conv_id", "turn", "role", F.col("clean").alias("text"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("clean"), F.lit("\n")).alias("formatted"),
+        "conv_id", "turn", "repeat", "role", F.col("clean").alias("text"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("clean"), F.lit("\n")).alias("formatted"),
         F.coalesce("quoted_turn", "before").alias("reply_to_turn"), F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("source.conv_id").alias("source_conv_id"), F.col("source.at").alias("source_turn"),
     )
+
+
+def assembled(messages: DataFrame) -> DataFrame:
+    """unquoted_conversations to conversations in reply order: conv_id, piece, turns, replies (the turn that each replies
+    to), text, n_passages, n_linked. A piece has PIECE turns and so many rows of each at most, so that no conversation,
+    however long, is in one row; the pieces of a conversation are numbered in order. Rows without a conversation or turn
+    are each a piece of their own."""
+    alone = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.monotonically_increasing_id())
+    keyed = messages.withColumns({"alone": alone, "block": F.floor(F.col("turn") / PIECE), "again": F.floor(F.col("repeat") / PIECE)})
+    row = F.struct("turn", "repeat", "reply_to_turn", "formatted")
+    grouped = keyed.groupBy("conv_id", "block", "again", "alone").agg(
+        F.array_sort(F.collect_list(row)).alias("rows"), F.sum("n_passages").alias("n_passages"), F.sum("n_linked").alias("n_linked")
+    )
+    place = F.row_number().over(Window.partitionBy("conv_id", "alone").orderBy("block", "again")) - 1  # a row a piece
+    return grouped.select(
+        "conv_id", place.cast("long").alias("piece"), F.col("rows.turn").alias("turns"), F.transform("rows", lambda r: r["reply_to_turn"]).alias("replies"),
+        F.array_join("rows.formatted", "").alias("text"), "n_passages", "n_linked",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,14 +74,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as mails: each message below the quoted one before it, and that one's own quotation. The table
-    has no quotes itself. The result has each message's own text again, and the message that it replies to."""
+    has no quotes itself. The result has the conversations in reply order: each message's own text again, and which message
+    it replies to; what each row links to is in the counts."""
     plain = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     quoted = lambda mark: F.concat(F.lit(mark), F.regexp_replace("text", "\n", f"\n{mark}"))
     last = plain.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     one = last.select("conv_id", (F.col("turn") + 1).alias("turn"), quoted("> ").alias("one"))
     two = last.select("conv_id", (F.col("turn") + 2).alias("turn"), quoted(">> ").alias("two"))
     mails = plain.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.concat_ws("\n", "two", "one", "text").alias("text"))
-    return chat.unquoted_conversations(mails)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias(c)
+    return chat.assembled(chat.unquoted_conversations(mails)).select("conv_id", "piece", joined("turns"), joined("replies"), "text", "n_passages", "n_linked")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +142,30 @@ pieces AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[ \t\r\
   FROM (SELECT conv_id, turn, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS p FROM m)),
 firsts AS (SELECT conv_id, piece, min(turn) AS at FROM pieces WHERE piece <> '' GROUP BY 1, 2),
 quoted AS (SELECT conv_id, turn, trim(regexp_replace(lower(min(text)), '[ \t\r\n]+', ' ', 'g')) AS q FROM m GROUP BY 1, 2),
-linked AS (SELECT q.conv_id, q.turn, q.q, f.at FROM quoted q LEFT JOIN firsts f ON f.conv_id = q.conv_id AND f.piece = q.q)
-SELECT m.conv_id, m.turn, m.role, m.own AS text, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || m.own || chr(10) AS formatted,
-  coalesce(a.at, b.at, a.turn) AS reply_to_turn,
+linked AS (SELECT q.conv_id, q.turn, q.q, f.at FROM quoted q LEFT JOIN firsts f ON f.conv_id = q.conv_id AND f.piece = q.q),
+turned AS (SELECT m.conv_id, m.turn, row_number() OVER (PARTITION BY m.conv_id, m.turn ORDER BY m.own NULLS FIRST, m.role NULLS FIRST) - 1 AS repeat,
+  '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || m.own || chr(10) AS formatted, coalesce(a.at, b.at, a.turn) AS reply_to_turn,
   CAST((coalesce(a.q, '') <> '') AS BIGINT) + CAST((coalesce(b.q, '') <> '') AS BIGINT) AS n_passages,
-  CAST(a.at IS NOT NULL AS BIGINT) + CAST(b.at IS NOT NULL AS BIGINT) AS n_linked,
-  CAST(NULL AS BIGINT) AS source_conv_id, CAST(NULL AS BIGINT) AS source_turn
-FROM m LEFT JOIN linked a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN linked b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2
+  CAST(a.at IS NOT NULL AS BIGINT) + CAST(b.at IS NOT NULL AS BIGINT) AS n_linked
+  FROM m LEFT JOIN linked a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN linked b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2),
+pieces_of AS (SELECT conv_id, turn // 1000 AS block, repeat // 1000 AS again, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn, repeat) AS turns,
+  string_agg(coalesce(CAST(reply_to_turn AS VARCHAR), '-'), ',' ORDER BY turn, repeat) AS replies,
+  string_agg(formatted, '' ORDER BY turn, repeat) AS text, CAST(sum(n_passages) AS BIGINT) AS n_passages, CAST(sum(n_linked) AS BIGINT) AS n_linked FROM turned GROUP BY 1, 2, 3)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block, again) - 1 AS piece, turns, replies, text, n_passages, n_linked FROM pieces_of
 """
 
-ORACLE: dict[str, str] = {"op5_chat": OP5_SQL, "op9_jaccard": OP9_SQL}
+#: CRC-32 by its rule: a table of 256 values, and a step for each byte of the text.
+_CRC_TABLE = [functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+
+#: The shard of each row by the middle of its bytes among all bytes.
+OP3_SQL = f"""
+WITH sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+  list_transform(regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '..'), lambda x: CAST(('0x' || x) AS BIGINT)) AS bytes FROM documents),
+summed AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, {_CRC_TABLE}[1 + (xor(c, x) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM sized),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS place,
+  sum(size) OVER () AS whole FROM summed),
+dealt AS (SELECT *, CAST(CAST(2 * upto - size AS HUGEINT) * 8 // (2 * whole) AS INT) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM dealt
+"""
+
+ORACLE: dict[str, str] = {"op3_sharding": OP3_SQL, "op5_chat": OP5_SQL, "op9_jaccard": OP9_SQL}

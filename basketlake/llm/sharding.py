@@ -39,10 +39,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes the table with one folder of Parquet files per shard, rows in order of doc_id within a file."""
+    """Writes the table with one folder of Parquet files per shard, rows in order of doc_id within a file. Equal rows that
+    lie on both sides of a cut are told apart by their number among their like, as many to each side as the slots say."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    placed = shard_by_bytes(docs, shards).groupBy("doc_id", "text_crc32", "size").agg(F.min("shard").alias("shard"))
-    keyed = docs.withColumns({"_crc": F.crc32(text.cast("binary")), "_size": (F.octet_length(text) + 1).cast("long")})
-    same = keyed["doc_id"].eqNullSafe(placed["doc_id"]) & (keyed["_crc"] == placed["text_crc32"]) & (keyed["_size"] == placed["size"])
-    joined = keyed.join(placed, same).select(*(keyed[c] for c in docs.columns), placed["shard"])
-    joined.sortWithinPartitions("shard", "doc_id").write.partitionBy("shard").parquet(path)
+    key = ["__id", "__crc", "__size"]
+    placed = shard_by_bytes(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), "shard", "slot")
+    spread = placed.groupBy(*key).agg(F.min("shard").alias("__least"), F.max("shard").alias("__most"))
+    spread = spread.select(*(F.col(c).alias(f"{c}_2") for c in key), "__least", "__most")
+    split = F.broadcast(spread.where("__least < __most"))  # one key a cut at most
+    same = lambda two: F.col("__id").eqNullSafe(F.col(f"__id{two}")) & (F.col("__crc") == F.col(f"__crc{two}")) & (F.col("__size") == F.col(f"__size{two}"))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": F.crc32(text.cast("binary")), "__size": (F.octet_length(text) + 1).cast("long")})
+    one = keyed.join(spread.where("__least = __most"), same("_2")).select(*docs.columns, F.col("__least").alias("shard"))
+    left = keyed.join(split, same("_2"), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    right = placed.join(split, same("_2"), "left_semi").withColumn("__n_3", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
+    right = right.select(*(F.col(c).alias(f"{c}_3") for c in key), "__n_3", F.col("shard").alias("__shard"))
+    cut = left.join(right, same("_3") & (F.col("__n") == F.col("__n_3"))).select(*docs.columns, F.col("__shard").alias("shard"))
+    one.unionByName(cut).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("shard", "doc_id").write.partitionBy("shard").parquet(path)

@@ -26,7 +26,7 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 4, 2
-EPOCHS = 40
+EPOCHS = 80
 RATE = 0.5
 
 

@@ -37,3 +37,17 @@ def test_odd_rows(spark):
     assert len(rows) == 8
     assert sorted(r["formatted"] for r in rows if r["turn"] is None or r["role"] is None) == ["<|unknown|>\n\n", "<|unknown|>\nx\n"]
     assert chat.unquoted_conversations(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_assembled_conversations_are_in_reply_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 4)
+    messages = [(1, t, "user", f"> say {t - 1}\nsay {t}" if t else "say 0") for t in range(10)] + [(2, 0, "a", "z"), (2, 0, "a", "b"), (None, 1, "a", "c"), (None, 1, "a", "d"), (3, None, "a", "e")]
+    df = spark.createDataFrame([(*m, "clash", 1, "clash") for m in messages], COLUMNS)
+    rows = chat.assembled(chat.unquoted_conversations(df)).collect()
+    one = sorted((r for r in rows if r["conv_id"] == 1), key=lambda r: r["piece"])
+    assert [r["turns"] for r in one] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert sum((r["replies"] for r in one), []) == [None, *range(9)]
+    assert "".join(r["text"] for r in one) == "".join(f"<|user|>\nsay {t}\n" for t in range(10))
+    assert [r["text"] for r in rows if r["conv_id"] == 2] == ["<|a|>\nb\n<|a|>\nz\n"]
+    assert sorted(r["text"] for r in rows if r["conv_id"] is None or r["conv_id"] == 3) == ["<|a|>\nc\n", "<|a|>\nd\n", "<|a|>\ne\n"]
+    assert chat.assembled(chat.unquoted_conversations(df.limit(0))).count() == 0

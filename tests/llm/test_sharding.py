@@ -39,3 +39,11 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(documents(spark, texts), str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["text"] for r in back.collect()) == sorted(texts) and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_written_shards_of_equal_rows(spark, tmp_path):
+    df = spark.createDataFrame([(7, "same")] * 50 + [(9, "other")] * 3, "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().collect()
+    want = sharding.shard_by_bytes(df, 4).groupBy("shard").count().collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, want))
