@@ -55,17 +55,19 @@ def validate_product_prices(prices: DataFrame, products: DataFrame) -> None:
 
 
 def quality_report(products: DataFrame, prices: DataFrame) -> DataFrame:
-    """check, value: two row counts, two duplicate counts, orphans, prices without a required value."""
+    """check, value: two row counts, two duplicate counts, orphans, prices without a required value. The prices are read
+    once for what needs no grouping."""
     groups = lambda df: df.agg(F.count("*").alias("value"))
+    lacks = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in REQUIRED))
+    once = prices.agg(F.count("*").alias("prices"), F.count_if(lacks).alias("missing_values"))
+    counted = once.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("value")) for n in ("prices", "missing_values")))))
     checks = {
         "products": groups(products),
-        "prices": groups(prices),
         "duplicate_products": groups(duplicate_products(products)),
         "duplicate_prices": groups(duplicate_prices(prices)),
         "orphan_prices": groups(orphan_prices(prices, products)),
-        "missing_values": missing_values(prices).withColumnRenamed("rows", "value"),
     }
-    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("check"), "value") for name, df in checks.items()))
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("check"), "value") for name, df in checks.items()), counted)
 
 
 def check_keys(tables: dict[str, DataFrame]) -> DataFrame:

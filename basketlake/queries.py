@@ -17,8 +17,9 @@ from basketlake.operators import quality
 from basketlake.operators.coerce import cast_to_table, with_keys, without_keys_count
 from basketlake.operators.latest import first_per_key, latest_daily_snapshots, latest_prices, latest_products, newest_first
 from basketlake.operators.upsert import merge_batch, upsert
+from basketlake.plans import jobs
 from basketlake.sources import documents, landing
-from basketlake.sources.tables import drop_empty_columns
+from basketlake.sources.tables import Tables, drop_empty_columns, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -528,3 +529,194 @@ def price_comparison(spark, sf_dir):
 def last_of_each_chain(spark, sf_dir):
     obs = observations(spark, sf_dir)
     return first_per_key(obs, ["chain_id"], newest_first(obs, "order_key")).selectExpr(*_columns(PRICE_OUT))
+
+
+# Loads: listings and documents made of the tables go through the jobs; what is then in the tables is the result.
+
+
+def _new_tables(spark: SparkSession) -> Tables:
+    tables = Tables(spark, work_folder(spark))
+    tables.create()
+    return tables
+
+
+def _listed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as the price file of one of 97 stores: source_file, content, day (two of three are of an older day),
+    order_key."""
+    item = F.struct(
+        F.col("l_partkey").cast("string").alias("ItemCode"),
+        F.col("l_returnflag").alias("ItemName"),
+        F.lit("0").alias("bIsWeighted"),
+        F.lit(" ").alias("QtyInPackage"),
+        F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("ItemPrice"),
+        F.col("l_linenumber").cast("string").alias("ItemStatus"),
+    )
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))  # the lines of an order
+    store = (F.col("l_orderkey") % 97).cast("string")
+    day = F.when(F.col("l_orderkey") % 3 == 0, "20260722").otherwise("20260721")
+    name = F.concat(F.lit("PriceFull7290027600007-001-"), F.lpad(store, 3, "0"), F.lit("-"), day, F.lit("-"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit(".gz"))
+    root = F.struct(store.alias("StoreID"), F.lit("7290027600007").alias("ChainID"), F.lit("1").alias("SubChainID"), F.struct(F.col("items").alias("Item")).alias("Items"))
+    return docs.select(name.alias("source_file"), F.to_xml(root, {"rowTag": "Root"}).alias("content"), day.alias("day"), F.col("l_orderkey").alias("order_key"))
+
+
+NEWEST_ORDERS = "c AS (SELECT l_orderkey % 97 AS store, max(l_orderkey) AS k FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)"
+PRICE_FILE = "'PriceFull7290027600007-001-' || lpad(CAST(store AS VARCHAR), 3, '0') || '-20260722-' || lpad(CAST(k AS VARCHAR), 9, '0') || '.gz'"
+
+
+@query(
+    f"""WITH {NEWEST_ORDERS}
+    SELECT l_partkey AS item_code, CAST(store AS INT) AS store_id, max(CAST(l_extendedprice AS DECIMAL(10,2))) AS item_price,
+      {PRICE_FILE} AS source_file, DATE '2026-07-22' AS extraction_date
+    FROM lineitem JOIN c ON l_orderkey = k WHERE k % 4 <> 1 GROUP BY ALL"""
+)
+def names_to_load(spark, sf_dir):
+    """A name list, of which three of four files have landed: the newest of each store that has landed is loaded."""
+    docs = _listed_prices(spark, sf_dir)
+    snapshots = landing.snapshots_of_names(docs.select(F.col("source_file").alias("name"), F.col("order_key").alias("position")), text.PRICE_FULL)
+    landed = docs.where("order_key % 4 <> 1")
+    _, here = landing.select_snapshots(snapshots, landed.select(F.col("source_file").alias("file_name")))
+    tables = _new_tables(spark)
+    wanted = landed.join(here.select(F.col("file_name").alias("source_file")), "source_file", "left_semi").select("source_file", "content")
+    jobs.load_prices_full(tables, here.select("file_name"), wanted, jobs.Options())
+    return tables.read("product_prices").select("item_code", "store_id", "item_price", "source_file", "extraction_date")
+
+
+@query(
+    f"""WITH {NEWEST_ORDERS}, p AS (SELECT l_partkey AS item_code, max(l_returnflag) OVER (PARTITION BY l_partkey, k) AS item_name, k, {PRICE_FILE} AS source_file
+      FROM lineitem JOIN c ON l_orderkey = k)
+    SELECT item_code, arg_max(item_name, source_file) AS item_name FROM p GROUP BY 1"""
+)
+def manifest_to_load(spark, sf_dir):
+    """The same files by a listing with times and branches: the products of the newest ones."""
+    docs = _listed_prices(spark, sf_dir)
+    at = F.concat(F.regexp_replace("day", "(....)(..)(..)", "$1-$2-$3"), F.lit(" "), F.lpad(F.col("order_key").cast("string"), 9, "0"))
+    kind = F.when(F.col("order_key") % 2 == 0, "PriceFull").otherwise("pricefull")
+    listed = docs.select(kind.alias("fileType"), F.col("source_file").alias("fileName"), at.alias("fileDate"), (F.col("order_key") % 97).cast("string").alias("branchNumber"), F.col("order_key").alias("position"))
+    listed = listed.unionByName(listed.withColumn("fileType", F.lit("promo")).withColumn("fileDate", F.lit("2030-01-01 00")))  # of another type, newer
+    snapshots = landing.snapshots_of_manifest(landing.wanted_entries(listed, "PRICEFULL"))
+    _, here = landing.select_snapshots(snapshots, docs.select(F.col("source_file").alias("file_name")))
+    tables = _new_tables(spark)
+    wanted = docs.join(here.select(F.col("file_name").alias("source_file")), "source_file", "left_semi").select("source_file", "content")
+    jobs.load_prices_full(tables, None, wanted, jobs.Options())
+    return tables.read("products").select("item_code", "item_name")
+
+
+@query(
+    """WITH b AS (SELECT s_nationkey AS store, n_regionkey AS chain, s_name, s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE n_regionkey END AS chain_id
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT CAST(chain_id AS BIGINT) AS chain_id, CAST(store AS INT) AS store_id, arg_max(s_name, s_suppkey) AS store_name, CAST(arg_max(s_suppkey % 4, s_suppkey) AS INT) AS sub_chain_id
+    FROM b WHERE chain_id IS NOT NULL GROUP BY ALL"""
+)
+def stores_to_load(spark, sf_dir):
+    """Each supplier as a store file; later files overwrite a store, those without a chain are dropped."""
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    store = F.struct(F.col("s_nationkey").cast("string").alias("StoreID"), F.col("s_name").alias("StoreName"))
+    sub = F.struct((F.col("s_suppkey") % 4).cast("string").alias("SubChainID"), F.struct(F.array(store).alias("Store")).alias("Stores"))
+    chain = F.when(F.col("s_suppkey") % 10 == 0, " ").otherwise(F.col("n_regionkey").cast("string"))
+    root = F.struct(chain.alias("ChainID"), F.struct(F.array(sub).alias("SubChain")).alias("SubChains"))
+    name = F.concat(F.lit("Stores7290027600007-000-20260816-"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(".xml"))
+    tables = _new_tables(spark)
+    jobs.load_stores(tables, None, joined.select(name.alias("source_file"), F.to_xml(root, {"rowTag": "Root"}).alias("content")), jobs.Options())
+    return tables.read("stores").select("chain_id", "store_id", "store_name", "sub_chain_id")
+
+
+PROMOTED = """p AS (SELECT 7290027600007 AS chain_id, CAST(o_custkey % 9 AS INT) AS store_id, CAST(o_orderkey AS VARCHAR) AS promotion_id, DATE '2026-08-16' AS extraction_date,
+  l_returnflag AS group_id, l_partkey AS item_code, CAST(l_quantity AS DECIMAL(12,2)) AS min_qty, l_linenumber AS place FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)"""
+
+
+@query(
+    f"""WITH {PROMOTED} SELECT chain_id, store_id, promotion_id, group_id, item_code, extraction_date, arg_max(min_qty, place * 1000 + min_qty) AS min_qty FROM p GROUP BY ALL"""
+)
+def promotions_to_load(spark, sf_dir):
+    """Orders as promotion files, through the load into three tables: every seventh has groups without an id, every
+    eleventh no promotion id, every thirteenth the excluded store in its header; their items are not there."""
+    item = F.struct(F.col("l_linenumber").alias("place"), F.col("l_quantity").cast("decimal(12,2)").alias("q"), F.col("l_partkey").cast("string").alias("code"))
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = F.transform("items", lambda i: F.struct(i["code"].alias("ItemCode"), i["q"].cast("string").alias("MinQty")))
+    group = F.struct(F.when(F.col("l_orderkey") % 7 == 0, " ").otherwise(F.col("l_returnflag")).alias("GroupID"), F.struct(items.alias("PromotionItem")).alias("PromotionItems"))
+    promos = table(spark, sf_dir, "orders").join(groups.groupBy("l_orderkey").agg(F.collect_list(group).alias("groups")), F.col("o_orderkey") == F.col("l_orderkey"))
+    promo = F.struct(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey").cast("string")).alias("PromotionID"), F.struct(F.col("groups").alias("Group")).alias("Groups"))
+    excluded = F.col("o_orderkey") % 13 == 0
+    root = F.struct(
+        F.when(excluded, text.EXCLUDED_CHAIN).otherwise("7290027600007").alias("ChainID"),
+        F.when(excluded, text.EXCLUDED_STORE).otherwise((F.col("o_custkey") % 9).cast("string")).alias("StoreID"),
+        F.struct(F.array(promo).alias("Promotion")).alias("Promotions"),
+    )
+    name = F.concat(F.lit("PromoFull7290027600007-001-001-20260816-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(".gz"))
+    tables = _new_tables(spark)
+    jobs.load_promo_full(tables, None, promos.select(name.alias("source_file"), F.to_xml(root, {"rowTag": "Root"}).alias("content")), jobs.Options())
+    loaded = tables.read("promotion_items").select(*schemas.KEYS["promotion_items"], F.col("min_qty").cast("decimal(12,2)").alias("min_qty"))
+    groups = tables.read("promotion_groups").join(tables.read("promotions").select(*schemas.KEYS["promotions"]), schemas.KEYS["promotions"], "left_semi")
+    return loaded.join(groups.select(*schemas.KEYS["promotion_groups"]), schemas.KEYS["promotion_groups"], "left_semi")
+
+
+@query(
+    """SELECT 'products_staging' AS target, 'not of the type of item_status' AS reason, count(*) AS rows
+      FROM lineitem WHERE l_linenumber % 4 = 0 AND l_orderkey % 5 <> 0
+    UNION ALL SELECT 'products_staging', 'no item_price', count(*) FROM lineitem WHERE l_linenumber % 4 = 1 AND l_orderkey % 5 <> 0
+    UNION ALL SELECT 'PriceFull file', 'malformed', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 5 = 0"""
+)
+def rejected_by_load(spark, sf_dir):
+    """A load in quarantine mode: statuses that are no numbers, missing prices, files that are cut off."""
+    item = F.struct(
+        F.col("l_partkey").cast("string").alias("ItemCode"),
+        F.when(F.col("l_linenumber") % 4 != 1, "1.00").otherwise("").alias("ItemPrice"),
+        F.when(F.col("l_linenumber") % 4 == 0, "old").otherwise("1").alias("ItemStatus"),
+    )
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    root = F.struct((F.col("l_orderkey") % 50).cast("string").alias("StoreID"), F.lit("1").alias("ChainID"), F.struct(F.col("items").alias("Item")).alias("Items"))
+    name = F.concat(F.lit("PriceFull1-001-001-20260722-"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit(".gz"))
+    content = F.to_xml(root, {"rowTag": "Root"})
+    cut = F.when(F.col("l_orderkey") % 5 == 0, F.substr(content, F.lit(1), F.length(content) - 8)).otherwise(content)
+    tables = _new_tables(spark)
+    jobs.load_prices_full(tables, None, docs.select(name.alias("source_file"), cut.alias("content")), jobs.Options(mode="quarantine"))
+    return tables.read("rejected").groupBy("target", "reason").agg(F.count("*").alias("rows"))
+
+
+# Checks of all tables over whole batches in which keys repeat, values are missing, and parents are missing.
+
+
+def _all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    obs = observations(spark, sf_dir).withColumn("store_id", F.nullif("store_id", F.lit(3)))
+    promo = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(*PROMO_SPARK)
+    promo = promo.withColumn("group_id", F.nullif("group_id", F.lit("R")))
+    return {
+        "products": obs.where("item_code % 3 <> 0"),
+        "product_prices": obs,
+        "stores": store_batch(spark, sf_dir),
+        "promotions": promo.where("part % 5 <> 0"),
+        "promotion_groups": promo.where("part % 7 <> 0"),
+        "promotion_items": promo,
+    }
+
+
+ALL_TABLES = f"""{OBS.replace("CAST(l_suppkey % 5 AS INT) AS store_id", "nullif(CAST(l_suppkey % 5 AS INT), 3) AS store_id")}, {STORE_BATCH}, {PROMO_BATCH.replace("b AS (", "pb0 AS (", 1)},
+pb AS (SELECT * REPLACE (nullif(group_id, 'R') AS group_id) FROM pb0),
+products AS (SELECT * FROM obs WHERE item_code % 3 <> 0), product_prices AS (SELECT * FROM obs), stores AS (SELECT * FROM b),
+promotions AS (SELECT * FROM pb WHERE part % 5 <> 0), promotion_groups AS (SELECT * FROM pb WHERE part % 7 <> 0), promotion_items AS (SELECT * FROM pb)"""
+
+
+def _each(parts: list[str]) -> str:
+    return f"WITH {ALL_TABLES} " + " UNION ALL ".join(parts)
+
+
+@query(_each([f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {', '.join(k)} HAVING count(*) > 1)) AS violations" for t, k in schemas.KEYS.items()]))
+def check_keys_of_all_tables(spark, sf_dir):
+    return quality.check_keys(_all_tables(spark, sf_dir))
+
+
+@query(_each([f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", (SELECT count(*) FROM {t} WHERE {c} IS NULL) AS violations" for t, k in schemas.NOT_NULL.items() for c in k]))
+def check_not_null_of_all_tables(spark, sf_dir):
+    return quality.check_not_null(_all_tables(spark, sf_dir))
+
+
+@query(
+    _each([
+        f"SELECT '{child}' AS \"table\", (SELECT count(*) FROM {child} x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)}"
+        f" AND NOT EXISTS (SELECT 1 FROM {parent} y WHERE {' AND '.join(f'x.{c} = y.{c}' for c in columns)})) AS violations"
+        for child, columns, parent in schemas.REFERENCES
+    ])
+)
+def check_references_of_all_tables(spark, sf_dir):
+    return quality.check_references(_all_tables(spark, sf_dir))

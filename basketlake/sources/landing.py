@@ -107,11 +107,11 @@ def new_links(links: DataFrame, max_pages: int | None = None) -> DataFrame:
     if max_pages is not None:
         named = named.where(F.col("page") <= max_pages)
     first = first_per_key(named, ["file_name"], [F.asc("page"), F.asc("position"), F.asc("url")])
-    fresh = first.groupBy("page").agg(F.lit(1).alias("fresh"))
-    # pages count from their least number on; the first gap in the pages that have new names ends the listing
-    numbered = fresh.withColumn("start", F.col("page") - F.row_number().over(Window.orderBy("page")) + 1)  # a row a page
-    stop = numbered.join(F.broadcast(named.agg(F.min("page").alias("start"))), "start").select("page")
-    return first.join(stop, "page", "left_semi").select(*named.columns)
+    # pages count from their least number on; the first one without a new name ends the listing
+    fresh = first.select("page").distinct()
+    after = fresh.select((F.col("page") + 1).alias("page")).unionByName(named.agg(F.min("page").alias("page")))
+    end = after.join(fresh, "page", "left_anti").agg(F.min("page")).first()[0]
+    return first.where(F.col("page") < F.lit(end)).select(*named.columns)
 
 
 def select_snapshots(snapshots: DataFrame, landed: DataFrame, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
