@@ -13,7 +13,7 @@
    that leaks so widely that its own terms are common, one of a tiny table, one of common words only) isn't searched by
    cosine: each window that has enough of its answer terms is a candidate, which leaves out none that could pass.
 5. Checks. For a candidate, the longest common subsequence of the item and the words around the window, as a share of the
-   item; and the rarer half of the item's terms (ANSWERS at least), as a share found there. A leak has LCS_SURE of the
+   item; and the rarest third of the item's terms (ANSWERS at least), as a share found there. A leak has LCS_SURE of the
    item in order and ANSWERS_SOME of those terms, or LCS_LEAST and ANSWERS_MOST.
 
 The benchmark is handled in blocks of ITEMS items or ITEM_BYTES, which bounds what is broadcast and what the driver holds;
@@ -41,6 +41,8 @@ from basketlake.llm import labelled, shared
 #: Items that are searched for at a time, about, and their bytes; blocks of items for which the corpus is coded at once.
 ITEMS, ITEM_BYTES, CODED = 5000, 4 << 20, 8
 STRIDE = 16
+#: Bytes of codes that a task works on at a time; a few vectors of RANK numbers are held for each word.
+CODE_BYTES = 1 << 17
 RANK, EXTRA = 64, 8
 #: Terms in more than this share of all passages have no weight.
 COMMON = 0.01
@@ -137,10 +139,10 @@ def plain_cosine(item: np.ndarray, words: np.ndarray, idf: np.ndarray) -> float:
 
 
 def answer_terms(item: np.ndarray, idf: np.ndarray) -> set[int]:
-    """The rarer half of the item's terms, ANSWERS at least. Not fewer: where one paraphrase of an item is copied often,
+    """The rarest third of the item's terms, ANSWERS at least. Not fewer: where one paraphrase of an item is copied often,
     the words that it leaves out are the rarest of all."""
     terms = sorted(set(item.tolist()), key=lambda c: (-idf[c], c))
-    return set(terms[: max(ANSWERS, -(-len(terms) // 2))])
+    return set(terms[: max(ANSWERS, -(-len(terms) // 3))])
 
 
 def answers_needed(terms: set[int]) -> int:
@@ -204,7 +206,7 @@ def _leaks_of_block(coded: DataFrame, vocabulary: Vocabulary, items: list, scrat
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Rows, codes, first word of each row, first words of the passages, first passage of each row."""
         for batch in batches:
-            for rows, data, offsets in shared.slices(batch, text="codes"):
+            for rows, data, offsets in shared.slices(batch, text="codes", most=CODE_BYTES):
                 upto = offsets // np.dtype(kind).itemsize
                 yield rows, own_code.value[data.view(kind)].astype(np.int64), upto, *passages(upto)
 

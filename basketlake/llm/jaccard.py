@@ -191,6 +191,7 @@ def _links_of_unit(percent: int):
         ranks = rank[code]
         root = linked([np.sort(ranks[bounds[i] : bounds[i + 1]]) for i in range(len(rid))], percent, table.column("comp").to_numpy())
         some = root != np.arange(len(root))
+        shared.give_back()
         return pa.table({"u": pa.array(rid[some], pa.int64()), "v": pa.array(rid[root[some]], pa.int64())})
 
     return run

@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id:
         yield windows.drained(part)
 
     scratch = shared.Scratch(spark, "packing")
-    pieces = scratch.save(shared.mapped(shared.narrow_documents(docs), packed, PIECES), "pieces")
+    pieces = scratch.save(shared.mapped(shared.narrow_documents(docs), packed, PIECES, keeps=tokens.KEEPS), "pieces")
     totals = pieces.groupBy("part").agg((F.max("in_part") + 1).alias("sequences"))
     return pieces.join(F.broadcast(shared.before_parts(totals, "part", "sequences")), "part").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("in_part") + F.col("sequences_before")).alias("sequence_id"), "offset"

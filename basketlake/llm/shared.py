@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,11 +73,30 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of bounded size. Spark looks the bounds up when the plan runs, so the session keeps them."""
+#: What a worker process keeps from task to task, by name: a tokenizer with the parts that it has met.
+held: dict[str, object] = {}
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow with batches of bounded size. Spark looks the bounds up when the plan runs, so the session keeps them.
+    Workers let go what they held for tasks of other kinds than `keeps`."""
     for name, most in BATCHES.items():
         df.sparkSession.conf.set(name, str(most))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in held if not n.startswith(keeps or " ")]:
+            del held[name]
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns what the task's arrays have freed to the system; a worker lives on after its task, often idle."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -75,7 +75,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts + 1), blob.cast(pa.binary()), rows.column(2)], names=["doc_id", "n", "ids", "tie"])
 
-    return shared.mapped(shared.narrow_documents(docs).withColumn("tie", F.monotonically_increasing_id()), run, "doc_id long, n long, ids binary, tie long")
+    return shared.mapped(shared.narrow_documents(docs).withColumn("tie", F.monotonically_increasing_id()), run, "doc_id long, n long, ids binary, tie long", keeps=tokens.KEEPS)
 
 
 def counted(stored: DataFrame, size: int) -> DataFrame:

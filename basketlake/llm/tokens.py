@@ -16,22 +16,23 @@ import pyarrow as pa
 from basketlake.llm import shared
 
 #: Distinct parts that a worker remembers; beyond, it keeps those met in two batches or more since the last time.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Text bytes handled at a time.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes of new parts that are encoded as one string.
 JOINED_BYTES = 1 << 12
 #: First bytes of the UTF-8 forms of the non-ASCII white space characters.
 SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 
-_encoders: dict[str, Encoder] = {}
+#: Name under which workers keep encoders.
+KEEPS = "tokens:"
 
 
 def encoder(path: str) -> Encoder:
     """The worker process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if KEEPS + path not in shared.held:
+        shared.held[KEEPS + path] = Encoder(path)
+    return shared.held[KEEPS + path]
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -54,7 +54,7 @@ def test_added_tokens_are_one_id(plain):
 
 def test_forgetting_keeps_ids_right(plain, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
-    monkeypatch.setattr(tokens, "_encoders", {})
+    monkeypatch.setattr(shared, "held", {})
     for seed in range(5):
         texts = [words(60, seed), words(60, 0)]
         assert encoded(texts) == [plain(t) for t in texts]
