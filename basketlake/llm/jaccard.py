@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from basketlake.llm import shared
 
 #: N-grams of whole sets that one task takes at most, about; a set counts SET more for what it costs besides.
-UNIT, SET = 1_000_000, 200
+UNIT, SET = 500_000, 800
 #: Share of a large set's n-grams that is counted, and n-grams that are counted of any set on average at least.
 PART, LEAST = 0.25, 60
 TOP = 1 << 63

@@ -64,6 +64,7 @@ def test_components_equal_brute_force(spark, n, percent):
 def test_large_families_in_blocks(spark, monkeypatch, unit):
     """Copies that all link, chains whose ends don't, and texts that share most words without linking, all in one family."""
     monkeypatch.setattr(jaccard, "UNIT", unit)
+    monkeypatch.setattr(jaccard, "SET", 200)
     rng, base = random.Random(1), words(200, 7)
     texts = [edited(base, rng.randrange(12), rng) for _ in range(40)]
     texts += [" ".join(base.split()[:120]) + " " + words(60, 300 + i) for i in range(10)]
