@@ -302,7 +302,7 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     units, large = in_blocks(members.withColumn("comp", F.col("rid")), "first")
     links = walked(units, "first")
     if large.isEmpty():
-        return scratch.save(shared.components(links, scratch, "links"), "components")
+        return scratch.save(shared.components(links, scratch, "closing"), "components")
 
     # one set of each component, while that joins components
     some = scratch.save(members.join(shared.bounded(large), "family", "left_semi"), "several")
@@ -340,7 +340,7 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     sides = pairs.withColumn("block", F.col("low")).unionByName(pairs.withColumn("block", F.col("high"))).distinct()
     units = state.join(sides, ["family", "block"]).select("rid", "comp", "family", "low", "high")
     links = links.unionByName(walked(units, "pairs"))
-    return scratch.save(shared.components(links, scratch, "links"), "components")
+    return scratch.save(shared.components(links, scratch, "closing"), "components")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
