@@ -10,9 +10,9 @@ Documents link when `percent` * union <= 100 * intersection. The join is exact,
    n-grams of two linked sets' parts have one in common: sets are tied to the smallest set with the same such n-gram.
    What many documents share comes last in this order and ties nothing unless a text is mostly made of it.
 3. Families. Connected components of these ties, found by joins (`shared.components`). Whole sets of families are stored.
-4. Prefix tree. A family's whole sets, ordered by count, go into a compressed tree. A set walks it, adding up overlaps of
-   shared stretches once for all sets below, and leaves out subtrees whose remaining lengths can't reach the threshold or
-   whose sets are all in its own component already. One task takes sets of UNIT n-grams at most, so larger families are
+4. Prefix tree. A family's whole sets, ordered by count, go into a compressed tree. Sets walk it, several at once, adding
+   up overlaps of shared stretches once for all sets below; each leaves out subtrees whose remaining lengths can't reach
+   the threshold or whose sets are all in its own component already. One task takes sets of UNIT n-grams at most, so larger families are
    walked in turns: each block by itself; then one set of each component so far, while that joins components; then, for
    the links that representatives can't show, pairs of blocks in which sets of different components still share a
    candidate n-gram. Sets of one large component are never held against each other again.
@@ -40,6 +40,8 @@ from basketlake.llm import shared
 
 #: N-grams of whole sets that one task takes at most, about; a set counts SET more for what it costs besides.
 UNIT, SET = 500_000, 800
+#: Bytes of the table that marks which n-grams the sets have that walk a tree together; a larger set walks alone.
+CELLS = 8 << 20
 #: Share of a large set's n-grams that is counted, and n-grams that are counted of any set on average at least.
 PART, LEAST = 0.25, 60
 TOP = 1 << 63
@@ -109,7 +111,8 @@ class Tree:
             last = now
         self.least, self.most = [0] * len(self.source), [0] * len(self.source)
         self.alike = [-1] * len(self.source)
-        for v in self.upwards(0):
+        self.order = self.upwards(0)
+        for v in self.order:
             sizes = [len(sets[i]) for i in self.ends_here[v]]
             self.least[v] = min(sizes + [self.least[c] for c in self.children[v]], default=0)
             self.most[v] = max(sizes + [self.most[c] for c in self.children[v]], default=0)
@@ -122,6 +125,13 @@ class Tree:
         self.ends_here.append([])
         return len(self.source) - 1
 
+    def join(self, comp: np.ndarray) -> None:
+        """Notes which nodes have sets of one component alone; they stay so."""
+        for v in self.order:
+            kinds = [*self.ends_here[v], *(self.alike[c] for c in self.children[v])]
+            if self.alike[v] < 0 and min(kinds, default=-1) >= 0 and len({int(comp[k]) for k in kinds}) == 1:
+                self.alike[v] = kinds[0]
+
     def upwards(self, top: int) -> list[int]:
         out, stack = [], [top]
         while stack:
@@ -131,50 +141,59 @@ class Tree:
         return out[::-1]
 
 
-def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+def _walk(tree: Tree, asks: np.ndarray, comp: np.ndarray, percent: int, width: int) -> None:
+    """Walks the tree with several sets at once: each node goes on with those that can still reach the threshold below it,
+    and the overlaps that they have so far. Enters the links in `comp`."""
+    sizes = np.array([len(tree.sets[x]) for x in asks], dtype=np.int64)
+    ends, place = np.cumsum(sizes), np.repeat(np.arange(len(asks)), sizes)
+    ranks = np.concatenate([tree.sets[x] for x in asks]).astype(np.int64)
+    mark = np.zeros((width, len(asks)), dtype=np.uint8)
+    mark[ranks, place] = 1
+    keys = place * width + ranks  # ascending: what a set has beyond a rank is counted by one search
+    stack = [(0, np.arange(len(asks)), np.zeros(len(asks), dtype=np.int64))]
+    while stack:
+        v, who, overlap = stack.pop()
+        if tree.alike[v] >= 0:
+            other = comp[asks[who]] != comp[tree.alike[v]]
+            who, overlap = who[other], overlap[other]
+        if not len(who):
+            continue
+        stretch = tree.sets[tree.source[v]][tree.begin[v] : tree.end[v]]
+        n = left = sizes[who]
+        if len(stretch):
+            if 4 * len(who) > len(asks):
+                overlap = overlap + np.add.reduce(mark[stretch], axis=0, dtype=np.int32)[who]
+            else:
+                overlap = overlap + np.add.reduce(mark[np.ix_(stretch, who)], axis=0, dtype=np.int32)
+            left = ends[who] - np.searchsorted(keys, who * width + int(stretch[-1]), side="right")
+        depth = tree.end[v]
+        best = np.minimum(np.maximum(depth + left, tree.least[v]), tree.most[v])
+        reach = (100 + percent) * (overlap + np.minimum(left, best - depth)) >= percent * (n + best)
+        who, overlap, n = who[reach], overlap[reach], n[reach]
+        near = asks[who[(100 + percent) * overlap >= percent * (n + depth)]]
+        for y in tree.ends_here[v] if len(near) else ():
+            met = np.unique(comp[np.append(near, y)])
+            if len(met) > 1:
+                comp[np.isin(comp, met)] = met[0]
+        if len(who):
+            stack += [(c, who, overlap) for c in tree.children[v]]
+
+
+def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, walks: np.ndarray | None = None) -> np.ndarray:
     """For each set the first set of its component; sets are sorted arrays of ranks without repeats. `known` numbers the
-    components that are known already."""
-    tree, root = Tree(sets), list(range(len(sets)))
+    components that are known already. Only sets that `walks` names (else all) walk; links between others may be missed."""
+    tree, comp = Tree(sets), np.arange(len(sets))
     if known is not None:
         _, at, which = np.unique(known, return_index=True, return_inverse=True)
-        root = at[which].tolist()
+        comp = at[which]
     width = int(max((int(s[-1]) for s in sets if len(s)), default=0)) + 1
-    mark = np.zeros(width, dtype=bool)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for x in range(len(sets)):
-        mine, n = sets[x], len(sets[x])
-        mark[mine] = True
-        seen, stack = [], [(0, 0)]
-        own = find(x)
-        while stack:
-            v, overlap = stack.pop()
-            if tree.alike[v] >= 0 and find(tree.alike[v]) == own:
-                continue
-            stretch = sets[tree.source[v]][tree.begin[v] : tree.end[v]]
-            overlap += int(np.count_nonzero(mark[stretch]))
-            depth = tree.end[v]
-            left = n - int(np.searchsorted(mine, stretch[-1], side="right")) if len(stretch) else n
-            best = min(max(depth + left, tree.least[v]), tree.most[v])
-            if (100 + percent) * (overlap + min(left, best - depth)) < percent * (n + best):
-                continue
-            seen.append(v)
-            for y in tree.ends_here[v]:
-                if (100 + percent) * overlap >= percent * (n + depth) and find(y) != own:
-                    a, b = sorted((own, find(y)))
-                    root[b] = own = a
-            stack += [(c, overlap) for c in tree.children[v]]
-        mark[mine] = False
-        for v in reversed(seen):  # a node whose sets are all in one component stays so
-            kinds = [*tree.ends_here[v], *(tree.alike[c] for c in tree.children[v])]
-            if tree.alike[v] < 0 and min(kinds) >= 0 and len({find(k) for k in kinds}) == 1:
-                tree.alike[v] = kinds[0]
-    return np.array([find(i) for i in range(len(sets))], dtype=np.int64)
+    order = np.arange(len(sets)) if walks is None else np.flatnonzero(walks)
+    at, step = 0, 1
+    while at < len(order):
+        tree.join(comp)
+        _walk(tree, order[at : at + step], comp, percent, width)
+        at, step = at + step, min(4 * step, max(1, CELLS // width))
+    return comp
 
 
 def _links_of_unit(percent: int):
@@ -189,7 +208,7 @@ def _links_of_unit(percent: int):
         rank = np.empty(len(count), dtype=np.uint32)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
         ranks = rank[code]
-        root = linked([np.sort(ranks[bounds[i] : bounds[i + 1]]) for i in range(len(rid))], percent, table.column("comp").to_numpy())
+        root = linked([np.sort(ranks[bounds[i] : bounds[i + 1]]) for i in range(len(rid))], percent, table.column("comp").to_numpy(), table.column("walks").to_numpy())
         some = root != np.arange(len(root))
         shared.give_back()
         return pa.table({"u": pa.array(rid[some], pa.int64()), "v": pa.array(rid[root[some]], pa.int64())})
@@ -283,7 +302,8 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     members = members.select("rid", "family", "cost")
 
     def walked(units: DataFrame, name: str) -> DataFrame:
-        """Links within units: rid, comp (component so far), and family, low, high, which name the unit."""
+        """Links within units: rid, comp (component so far), walks, and family, low, high, which name the unit. Sets of a
+        unit's low block walk; the tree has both blocks."""
         units = shared.bounded(scratch.save(units, f"{name}-units"))
         links = whole.join(units, "rid").groupBy("family", "low", "high").applyInArrow(_links_of_unit(percent), "u long, v long")
         return scratch.save(links, f"{name}-links")
@@ -297,7 +317,7 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
         large = scratch.save(sets.groupBy("family").agg(F.sum("cost").alias("total")).where(F.col("total") > UNIT), f"{name}-large")
         block = F.coalesce(F.pmod(F.xxhash64("rid"), F.ceil(F.col("total") / F.lit(UNIT))), F.lit(0)).cast("long")
         dealt = sets.join(shared.bounded(large), "family", "left").withColumn("low", block)
-        return dealt.select("rid", "comp", "family", "low", F.col("low").alias("high")), large.select("family")
+        return dealt.select("rid", "comp", "family", "low", F.col("low").alias("high"), F.lit(True).alias("walks")), large.select("family")
 
     units, large = in_blocks(members.withColumn("comp", F.col("rid")), "first")
     links = walked(units, "first")
@@ -338,7 +358,7 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     pairs = blocks.join(other, "family").where("block <= block_2 and (kind <> kind_2 or kind = -1)")  # a row for each unit
     pairs = scratch.save(pairs.select("family", F.col("block").alias("low"), F.col("block_2").alias("high")), "pairs")
     sides = pairs.withColumn("block", F.col("low")).unionByName(pairs.withColumn("block", F.col("high"))).distinct()
-    units = state.join(sides, ["family", "block"]).select("rid", "comp", "family", "low", "high")
+    units = state.join(sides, ["family", "block"]).select("rid", "comp", "family", "low", "high", (F.col("block") == F.col("low")).alias("walks"))
     links = links.unionByName(walked(units, "pairs"))
     return scratch.save(shared.components(links, scratch, "closing"), "components")
 

@@ -109,6 +109,27 @@ def test_tree_equals_all_pairs():
         assert got.tolist() == root, trial
 
 
+@pytest.mark.parametrize("cells", [1, 700, 1 << 20])
+def test_one_block_walks_through_both(monkeypatch, cells):
+    """Links between a block that walks and one that does not, in batches of any size, equal those of all such pairs."""
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    rng, percent = np.random.default_rng(1), 80
+    for trial in range(20):
+        base, sets = rng.choice(60, 25, replace=False), []
+        for _ in range(30):
+            keep = base[rng.random(25) > 0.12]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 80, rng.integers(0, 4))])).astype(np.uint32))
+        walks = rng.random(30) < 0.5
+        got, root = jaccard.linked(sets, percent, walks=walks), list(range(30))
+        for _ in sets:
+            for a in range(30):
+                for b in range(30):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if (walks[a] or walks[b]) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                        root[a] = root[b] = min(root[a], root[b])
+        assert got.tolist() == root, trial
+
+
 def test_dropping_keeps_one_of_each_group(spark):
     base = words(50, 3)
     texts = [base, base + " x", words(50, 4), None, "", base]
