@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import chat, decontam, jaccard, media, packing, pii, quality, sharding, shared, token_files, toxicity
+from basketlake.llm import chat, decontam, fill_middle, filter_audit, jaccard, media, packing, pii, quality, recompression, sharding, shared, token_files, toxicity
 
 
 def vocabulary() -> str:
@@ -108,6 +108,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.remove_repeats(documents(spark, sf_dir), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_middle(documents(spark, sf_dir))
+    digest = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(back, "restored_sha256"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_media": op2_media,
@@ -119,6 +135,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
+    "op11_recompression": op11_recompression,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 #: Word n-gram sets of documents, their links, and the smallest doc_id that links reach.
@@ -168,4 +187,54 @@ dealt AS (SELECT *, CAST(CAST(2 * upto - size AS HUGEINT) * 8 // (2 * whole) AS
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM dealt
 """
 
-ORACLE: dict[str, str] = {"op3_sharding": OP3_SQL, "op5_chat": OP5_SQL, "op9_jaccard": OP9_SQL}
+#: Every window of 20 words that has an earlier equal one, and the words that such windows cover.
+OP11_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM words WHERE len(w) >= 20),
+keyed AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS k FROM windows),
+numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM numbered WHERE nth > 1),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY 1)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+#: The five filters, all orders of them, and what each step does to the rows of a mask.
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN split.doc_id > least THEN 'E' ELSE '' END AS f
+  FROM split LEFT JOIN marks USING (doc_id)),
+counted AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (SELECT o, s, substr(o, s, 1) AS letter, substr(o, 1, s - 1) AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+met AS (SELECT *, contains(f, letter) AS fails, length(f) > length(translate(f, earlier, '')) AS gone FROM counted, steps),
+summed AS (SELECT part, o, s, letter, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (f = letter), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost FROM met GROUP BY 1, 2, 3, 4)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM summed
+"""
+
+#: Cuts from the hash of the id, and the parts in their order; what is restored is the text itself.
+OP13_SQL = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, len(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+drawn AS (SELECT doc_id, t, CAST(n AS BIGINT) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS b,
+  CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS e FROM hashed),
+formed AS (SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) - least(a, b) AS m,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, p) AS prefix, substr(t, p + 1, m) AS middle, substr(t, p + m + 1) AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(m AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts
+"""
+
+ORACLE: dict[str, str] = {"op3_sharding": OP3_SQL, "op5_chat": OP5_SQL, "op9_jaccard": OP9_SQL, "op11_recompression": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_fill_middle": OP13_SQL}

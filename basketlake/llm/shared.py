@@ -62,11 +62,15 @@ class Scratch:
     def result(self, df: DataFrame) -> DataFrame:
         """Saves a result and deletes all else of this run."""
         kept = self.save(df, "result")
+        self.only("result")
+        return kept
+
+    def only(self, *names: str) -> None:
+        """Deletes the other tables of this run."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
-            if status.getPath().getName() != "result":
+            if status.getPath().getName() not in names:
                 self._delete(status.getPath().toString())
-        return kept
 
     def _delete(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
