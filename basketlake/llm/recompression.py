@@ -21,9 +21,9 @@ Within a document windows are compared directly. Words that a window with an ear
 
 Rows of equal text are one class: its first document is looked at, in the others all windows are repeats. What rounds
 send is numbers by name: counts and least documents are combined before the shuffle, and joined back by name, where Spark
-splits the rows of a hot one; what comes back to a document is in proportion to its own length. Texts are never shuffled
-while the spans of all documents can be broadcast (`SPAN_BYTES`); beyond, once a round. 64-bit names are backed by a second
-hash of the words below them where something is removed for them.
+splits the rows of a hot one; what comes back to a document is in proportion to its own length. Texts are shuffled to meet
+what the rounds have found about them, thrice: of rounds 2 and 3 only those that may share something, then all. 64-bit
+names are backed by a second hash of the words below them where something is removed for them.
 
 Words are runs of other characters than space and \\t to \\r, unchanged. A null or empty text has no words and an empty
 result. Fewer words than a window: none is removed. Documents count in order of doc_id (null: last), then of the text's
@@ -44,8 +44,6 @@ from basketlake.llm import shared
 
 #: Levels whose symbols anchor windows: deeper ones depend on more words than a window of twenty has to spare.
 LOW = 2
-#: Bytes of lists of numbers that may be broadcast to the texts.
-SPAN_BYTES = 32 << 20
 #: Levels without a new symbol after which no more are tried.
 QUIET = 4
 #: Fixed value: spreads the seeds by which levels split names.
@@ -203,12 +201,6 @@ def _in_shared(texts: Texts, rows: np.ndarray, keys: np.ndarray, again: np.ndarr
     return (known[at] == mine if len(known) else np.zeros(len(mine), dtype=bool)) | again
 
 
-def small_lists(stored: DataFrame, *columns: str) -> DataFrame:
-    """A stored table with lists of numbers, marked for broadcast where its counted numbers allow that."""
-    size = F.lit(40) + sum((F.greatest(F.size(c), F.lit(0)) * 8 for c in columns), F.lit(0))
-    return F.broadcast(stored) if (stored.agg(F.sum(size.cast("long"))).first()[0] or 0) <= SPAN_BYTES else stored
-
-
 #: What the keys of a document are called on the other side of a join.
 NAMES = {"doc_id": "__doc", shared.TEXT_HASH: "__hash"}
 
@@ -262,9 +254,9 @@ class _Rounds:
         before = shared.before_parts(firsts, "part", "rows").join(firsts.select("part", "least"), "part")
         return self.scratch.save(rows.join(F.broadcast(before), "part").withColumn("place", F.col("id") - F.col("least") + F.col("rows_before")).drop("id", "part", "least", "rows_before"), "places")
 
-    def with_texts(self, lists_: DataFrame, name: str, *columns: str) -> DataFrame:
+    def with_texts(self, lists_: DataFrame, name: str) -> DataFrame:
         """Texts with the lists of their documents."""
-        keys = small_lists(self.scratch.save(lists_, name), *columns).withColumnsRenamed(NAMES)
+        keys = self.scratch.save(lists_, name).withColumnsRenamed(NAMES)
         return self.text.join(keys, same(self.text, keys)).drop(*NAMES.values(), shared.TEXT_HASH)
 
     def earlier(self, occurrences: DataFrame, *keys: str) -> DataFrame:
@@ -290,11 +282,11 @@ class _Rounds:
         keys = anchors.join(counts, "anchor").groupBy("place").agg(F.collect_list("anchor").alias("keys"))
         keyed = self.scratch.save(rows.drop("anchors").join(keys, "place", "left").where("twice OR keys IS NOT NULL"), "keyed")
 
-        high = self.high_symbols(self.with_texts(keyed.select("place", "doc_id", shared.TEXT_HASH, "keys"), "keys", "keys"))
+        high = self.high_symbols(self.with_texts(keyed.select("place", "doc_id", shared.TEXT_HASH, "keys"), "keys"))
         symbols = self.earlier(high, "s1", "s2").groupBy("place").agg(F.collect_list((F.col("start") * (1 << 31) + F.col("end"))).alias("symbols"))
         symbols = self.scratch.save(symbols, "symbols")
         with_symbols = keyed.select("place", "doc_id", shared.TEXT_HASH, "keys").join(symbols, "place", "left")
-        windows = self.scratch.save(self.open_windows(self.with_texts(with_symbols, "with-symbols", "keys", "symbols")), "windows")
+        windows = self.scratch.save(self.open_windows(self.with_texts(with_symbols, "with-symbols")), "windows")
         each = windows.select("place", F.explode(F.arrays_zip("w1", "w2", "start")).alias("w")).select("place", "w.*")
         starts = self.earlier(each, "w1", "w2").groupBy("place").agg(F.collect_list("start").alias("starts"))
         out = rows.select("place", "doc_id", shared.TEXT_HASH).join(windows.select("place", "own"), "place", "left").join(symbols, "place", "left").join(starts, "place", "left")
@@ -363,7 +355,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     rounds.scratch.only("looked", "several")
     key, text, several = ["doc_id", shared.TEXT_HASH], rounds.text, rounds.several
     lists_ = ("own", "symbols", "starts")
-    keys = small_lists(looked, *lists_).withColumnsRenamed(NAMES)
+    keys = looked.withColumnsRenamed(NAMES)
     joined = text.join(keys, same(text, keys), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

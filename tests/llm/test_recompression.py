@@ -85,8 +85,7 @@ def test_repeated_rows(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows, 20)
 
 
-def test_lists_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(recompression, "SPAN_BYTES", -1)
+def test_tables_too_large_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
     texts = passages(9)
     assert got(documents(spark, texts)) == brute(list(enumerate(texts)), 20)
