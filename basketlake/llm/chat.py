@@ -73,17 +73,20 @@ def unquoted_conversations(conversations: DataFrame) -> DataFrame:
     pieces = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"))
     keys = own.select("conv_id", "turn", F.explode(_keys(pieces)).alias("key")).join(wanted, "key", "left_semi")
     firsts = scratch.save(keys.groupBy("conv_id", "key").agg(F.min("turn").alias("at")), "firsts")
-    anywhere = firsts.groupBy("key").agg(F.min(F.struct("conv_id", "at")).alias("other"))
+    # of each hash the first two conversations, since a quotation is foreign only if it comes from another one than its own
+    least = firsts.groupBy("key").agg(F.min("conv_id").alias("one"), F.max("conv_id").alias("last")).where("one < last")
+    second = firsts.join(least, "key").where("conv_id > one").groupBy("key").agg(F.min(F.struct("conv_id", "at")).alias("second"))
+    anywhere = firsts.groupBy("key").agg(F.min(F.struct("conv_id", "at")).alias("other")).join(second, "key", "left")
 
     def found(column: str) -> tuple[DataFrame, DataFrame]:
-        return firsts.select("conv_id", F.col("key").alias(column), F.col("at").alias(f"{column}_at")), anywhere.select(F.col("key").alias(column), F.col("other").alias(f"{column}_other"))
+        return firsts.select("conv_id", F.col("key").alias(column), F.col("at").alias(f"{column}_at")), anywhere.select(F.col("key").alias(column), F.col("other").alias(f"{column}_other"), F.col("second").alias(f"{column}_second"))
 
     linked = passages
     for column in ("whole", "opening"):
         here, there = found(column)
         linked = linked.join(here, ["conv_id", column], "left").join(there, column, "left")
     earlier = lambda c: F.when(F.col(f"{c}_at") < F.col("turn"), F.col(f"{c}_at"))
-    foreign = lambda c: F.when(F.col(f"{c}_other.conv_id") != F.col("conv_id"), F.col(f"{c}_other"))
+    foreign = lambda c: F.when(F.col(f"{c}_other.conv_id") != F.col("conv_id"), F.col(f"{c}_other")).otherwise(F.col(f"{c}_second"))
     linked = linked.withColumn("at", F.coalesce(earlier("whole"), earlier("opening")))
     linked = linked.withColumn("other", F.when(F.col("at").isNull(), F.coalesce(foreign("whole"), foreign("opening"))))
     shallow = F.min(F.when(F.col("at").isNotNull(), F.struct("level", (-F.col("at")).alias("back"))))
@@ -111,8 +114,11 @@ def assembled(messages: DataFrame) -> DataFrame:
     grouped = keyed.groupBy("conv_id", "block", "again", "alone").agg(
         F.array_sort(F.collect_list(row)).alias("rows"), F.sum("n_passages").alias("n_passages"), F.sum("n_linked").alias("n_linked")
     )
-    place = F.row_number().over(Window.partitionBy("conv_id", "alone").orderBy("block", "again")) - 1  # a row a piece
-    return grouped.select(
-        "conv_id", place.cast("long").alias("piece"), F.col("rows.turn").alias("turns"), F.transform("rows", lambda r: r["reply_to_turn"]).alias("replies"),
+    scratch = shared.Scratch(messages.sparkSession, "assembled")
+    grouped = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    place = F.row_number().over(Window.partitionBy("conv_id", "alone").orderBy("block", "again")) - 1  # on keys: a task has no text
+    places = scratch.save(grouped.select("conv_id", "alone", "block", "again", "id").select("id", place.cast("long").alias("piece")), "places")
+    return grouped.join(shared.bounded(places), "id").select(
+        "conv_id", "piece", F.col("rows.turn").alias("turns"), F.transform("rows", lambda r: r["reply_to_turn"]).alias("replies"),
         F.array_join("rows.formatted", "").alias("text"), "n_passages", "n_linked",
     )
