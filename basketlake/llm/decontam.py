@@ -13,7 +13,7 @@
    that leaks so widely that its own terms are common, one of a tiny table, one of common words only) isn't searched by
    cosine: each window that has enough of its answer terms is a candidate, which leaves out none that could pass.
 5. Checks. For a candidate, the longest common subsequence of the item and the words around the window, as a share of the
-   item; and the rarest third of the item's terms (ANSWERS at least), as a share found there. A leak has LCS_SURE of the
+   item; and the rarer half of the item's terms (ANSWERS at least), as a share found there. A leak has LCS_SURE of the
    item in order and ANSWERS_SOME of those terms, or LCS_LEAST and ANSWERS_MOST.
 
 The benchmark is handled in blocks of ITEMS items or ITEM_BYTES, which bounds what is broadcast and what the driver holds;
@@ -49,7 +49,9 @@ COMMON = 0.01
 COSINE = 0.3
 ANSWERS, WEIGHTED = 5, 0.8
 LCS_SURE, ANSWERS_SOME = 0.75, 0.4
-LCS_LEAST, ANSWERS_MOST = 0.5, 0.6
+LCS_LEAST, ANSWERS_MOST = 0.5, 0.5
+#: Bytes of codes that a counting task adds up before it sends a row a term, about; no fewer tasks than COUNTING a core.
+COUNTED_BYTES, COUNTING = 512 << 20, 4
 HITS = f"doc_id long, {shared.TEXT_HASH} long, item_id long, start_word int, cosine double, lcs_share double, answer_share double"
 
 
@@ -139,10 +141,10 @@ def plain_cosine(item: np.ndarray, words: np.ndarray, idf: np.ndarray) -> float:
 
 
 def answer_terms(item: np.ndarray, idf: np.ndarray) -> set[int]:
-    """The rarest third of the item's terms, ANSWERS at least. Not fewer: where one paraphrase of an item is copied often,
+    """The rarer half of the item's terms, ANSWERS at least. Not fewer: where one paraphrase of an item is copied often,
     the words that it leaves out are the rarest of all."""
     terms = sorted(set(item.tolist()), key=lambda c: (-idf[c], c))
-    return set(terms[: max(ANSWERS, -(-len(terms) // 3))])
+    return set(terms[: max(ANSWERS, -(-len(terms) // 2))])
 
 
 def answers_needed(terms: set[int]) -> int:
@@ -211,7 +213,8 @@ def _leaks_of_block(coded: DataFrame, vocabulary: Vocabulary, items: list, scrat
                 yield rows, own_code.value[data.view(kind)].astype(np.int64), upto, *passages(upto)
 
     # each task adds up before it sends a row a term, so few tasks with much input send least
-    gathered = coded.select("codes").coalesce(4 * spark.sparkContext.defaultParallelism)
+    held = coded.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0
+    gathered = coded.select("codes").coalesce(max(COUNTING * spark.sparkContext.defaultParallelism, held // COUNTED_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(unknown + 1, dtype=np.int64), 0
