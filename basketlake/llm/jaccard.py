@@ -267,8 +267,9 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     firsts = scratch.save(prefix(F.col("size_class"), "n_low").unionByName(prefix(F.col("size_class") - 1, "n_high")), "firsts")
     scratch.drop("known", "counts", "later")
     hubs = firsts.groupBy("pairing", "gram").agg(F.min("rid").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    ties = firsts.join(scratch.save(hubs, "hubs"), ["pairing", "gram"]).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
-    family = scratch.save(shared.components(ties, scratch, "ties"), "family").select(F.col("node").alias("rid"), F.col("root").alias("family"))
+    most = firsts.count()
+    ties = firsts.join(scratch.save(hubs, "hubs", most), ["pairing", "gram"]).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    family = scratch.save(shared.components(ties, scratch, "ties", most), "family", most).select(F.col("node").alias("rid"), F.col("root").alias("family"))
     joined = _links_in_families(text, family, classes, firsts, n, percent, scratch)
 
     # the smallest doc_id of each component, for all rows of its classes
@@ -294,7 +295,8 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
                 k1, k2, found = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), listed(found)], names=["k1", "k2", "grams"])
 
-    members = scratch.save(family.join(classes, "rid").select("rid", "family", "k1", "k2", (F.col("n") + SET).alias("cost"), F.col("first").alias("doc_id"), F.col("first_hash").alias(shared.TEXT_HASH)), "members")
+    n_members = family.count()
+    members = scratch.save(family.join(classes, "rid").select("rid", "family", "k1", "k2", (F.col("n") + SET).alias("cost"), F.col("first").alias("doc_id"), F.col("first_hash").alias(shared.TEXT_HASH)), "members", n_members)
     owners = shared.without(text, members.select("doc_id", shared.TEXT_HASH), "left_semi")
     again = shared.mapped(owners, grams, "k1 long, k2 long, grams array<long>")
     again = again.join(shared.bounded(members.select("k1", "k2", "rid")), ["k1", "k2"])
@@ -304,17 +306,17 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     def walked(units: DataFrame, name: str) -> DataFrame:
         """Links within units: rid, comp (component so far), walks, and family, low, high, which name the unit. Sets of a
         unit's low block walk; the tree has both blocks."""
-        units = shared.bounded(scratch.save(units, f"{name}-units"))
-        links = whole.join(units, "rid").groupBy("family", "low", "high").applyInArrow(_links_of_unit(percent), "u long, v long")
+        units = scratch.save(units, f"{name}-units")
+        links = whole.join(shared.bounded(units), "rid").groupBy("family", "low", "high").applyInArrow(_links_of_unit(percent), "u long, v long")
         return scratch.save(links, f"{name}-links")
 
     def with_components(sets: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        found = scratch.save(shared.components(links, scratch, name), f"{name}-components")
+        found = scratch.save(shared.components(links, scratch, name, links.count()), f"{name}-components", n_members)
         return sets.drop("comp").join(shared.bounded(found), sets["rid"] == found["node"], "left").withColumn("comp", F.coalesce("root", "rid")).drop("node", "root")
 
     def in_blocks(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Units of one block each, and the families that have several."""
-        large = scratch.save(sets.groupBy("family").agg(F.sum("cost").alias("total")).where(F.col("total") > UNIT), f"{name}-large")
+        large = scratch.save(sets.groupBy("family").agg(F.sum("cost").alias("total")).where(F.col("total") > UNIT), f"{name}-large", n_members)
         block = F.coalesce(F.pmod(F.xxhash64("rid"), F.ceil(F.col("total") / F.lit(UNIT))), F.lit(0)).cast("long")
         dealt = sets.join(shared.bounded(large), "family", "left").withColumn("low", block)
         return dealt.select("rid", "comp", "family", "low", F.col("low").alias("high"), F.lit(True).alias("walks")), large.select("family")
@@ -322,45 +324,46 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     units, large = in_blocks(members.withColumn("comp", F.col("rid")), "first")
     links = walked(units, "first")
     if large.isEmpty():
-        return scratch.save(shared.components(links, scratch, "closing"), "components")
+        return scratch.save(shared.components(links, scratch, "closing", links.count()), "components", n_members)
 
     # one set of each component, while that joins components
-    some = scratch.save(members.join(shared.bounded(large), "family", "left_semi"), "several")
+    some = scratch.save(members.join(shared.bounded(large), "family", "left_semi"), "several", n_members)
     at, before = 0, some.count()
     while True:
         at += 1
-        state = scratch.save(with_components(some, links, f"turn-{at}"), f"state-{at}")
+        state = scratch.save(with_components(some, links, f"turn-{at}"), f"state-{at}", n_members)
         heads = state.where("rid = comp")
         left = heads.count()
         if left > 0.7 * before:
             break
         units, several = in_blocks(heads, f"heads-{at}")
-        links = scratch.save(links.unionByName(walked(units, f"heads-{at}")), f"links-{at}")
+        more = walked(units, f"heads-{at}")
+        links = scratch.save(links.unionByName(more), f"links-{at}", links.count() + more.count())
         if several.isEmpty():
-            state = scratch.save(with_components(some, links, f"last-{at}"), f"last-state-{at}")
+            state = scratch.save(with_components(some, links, f"last-{at}"), f"last-state-{at}", n_members)
             break
         before = left
 
     # sets of different components that share a candidate n-gram, in pairs of blocks
     placed = firsts.join(shared.bounded(state.select("rid", "comp"), state), "rid")
     mixed = placed.groupBy("pairing", "gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("pairing", "gram")
-    mixed = scratch.save(mixed, "mixed")
-    open_ = scratch.save(placed.join(mixed, ["pairing", "gram"]).select("rid").distinct(), "open")
+    mixed = scratch.save(mixed, "mixed", firsts.count())
+    open_ = scratch.save(placed.join(mixed, ["pairing", "gram"]).select("rid").distinct(), "open", n_members)
     state = state.join(shared.bounded(open_), "rid", "left_semi")
     half = F.lit(UNIT // 2)
-    major = scratch.save(state.groupBy("family", "comp").agg(F.sum("cost").alias("own")).where(F.col("own") > half), "major")
+    major = scratch.save(state.groupBy("family", "comp").agg(F.sum("cost").alias("own")).where(F.col("own") > half), "major", n_members)
     state = state.join(shared.bounded(major), ["family", "comp"], "left").withColumn("kind", F.when(F.col("own").isNotNull(), F.col("comp")).otherwise(F.lit(-1)))
-    pools = scratch.save(state.groupBy("family", "kind").agg(F.sum("cost").alias("total")), "pools")
+    pools = scratch.save(state.groupBy("family", "kind").agg(F.sum("cost").alias("total")), "pools", n_members)
     state = state.join(shared.bounded(pools), ["family", "kind"]).withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("rid"), F.ceil(F.col("total") / half))))
-    state = scratch.save(state.select("rid", "comp", "family", "kind", "block"), "blocks")
+    state = scratch.save(state.select("rid", "comp", "family", "kind", "block"), "blocks", n_members)
     blocks = state.select("family", "kind", "block").distinct()
     other = blocks.select("family", F.col("kind").alias("kind_2"), F.col("block").alias("block_2"))
     pairs = blocks.join(other, "family").where("block <= block_2 and (kind <> kind_2 or kind = -1)")  # a row for each unit
-    pairs = scratch.save(pairs.select("family", F.col("block").alias("low"), F.col("block_2").alias("high")), "pairs")
+    pairs = scratch.save(pairs.select("family", F.col("block").alias("low"), F.col("block_2").alias("high")), "pairs", blocks.count() ** 2)
     sides = pairs.withColumn("block", F.col("low")).unionByName(pairs.withColumn("block", F.col("high"))).distinct()
     units = state.join(sides, ["family", "block"]).select("rid", "comp", "family", "low", "high", (F.col("block") == F.col("low")).alias("walks"))
     links = links.unionByName(walked(units, "pairs"))
-    return scratch.save(shared.components(links, scratch, "closing"), "components")
+    return scratch.save(shared.components(links, scratch, "closing", links.count()), "components", n_members)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -32,6 +32,10 @@ CHUNK_BYTES = 1 << 19
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
 
 
+#: Rows of numbers that one task writes at least.
+FILE_ROWS = 200_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session; a local session that has none
     gets one of its own."""
@@ -50,9 +54,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+        """`rows`: about how many there are at most; a table of few rows is written by few tasks, whatever the width of
+        the shuffle before."""
         path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -259,12 +265,13 @@ def bounded(table: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return F.broadcast(table) if (stored or table).count() * width <= BROADCAST_BYTES else table
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, most: int | None = None) -> DataFrame:
     """Connected components: `node`, `root` (the smallest node of its component), for all nodes of edges (u, v).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): neighbours move to the smallest node near
-    them until only stars are left. Each round is two aggregations and joins and is stored; only whether a node is in
-    the way reaches the driver. Hubs are aggregated before they are joined, no list of neighbours is ever built, and edges
+    them until only stars are left. Each round is two aggregations and joins and is stored, in files by the number of
+    edges; `most` is how many there are at first at most. Only that number and whether a node is in the way reach the
+    driver. Hubs are aggregated before they are joined, no list of neighbours is ever built, and edges
     are dealt out by a node only where the least neighbours are too many to broadcast (AQE then splits a hub's edges).
     """
 
@@ -274,15 +281,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out + root > 1").isEmpty()
 
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now, at = scratch.save(edges.distinct(), f"{name}-0"), 0
+    now, at = scratch.save(edges.distinct(), f"{name}-0", most), 0
     while not is_stars(now):
         at += 1
+        n = 2 * now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large-{at}")
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large-{at}", n)
         large = both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.save(large, f"{name}-edges-{at}")
-        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small-{at}")
+        large = scratch.save(large, f"{name}-edges-{at}", n)
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small-{at}", n)
         small = large.join(bounded(least), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = scratch.save(small.where("u <> v").distinct(), f"{name}-{at}")
+        now = scratch.save(small.where("u <> v").distinct(), f"{name}-{at}", n)
         scratch.drop(f"{name}-{at - 1}", f"{name}-large-{at}", f"{name}-edges-{at}", f"{name}-small-{at}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
