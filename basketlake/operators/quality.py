@@ -42,10 +42,13 @@ def missing_values(rows: DataFrame, columns: tuple[str, ...] = REQUIRED) -> Data
     return rows.agg(F.count_if(lacks).alias("rows"))
 
 
+def require_values(lacking: int) -> None:
+    if lacking:
+        raise ValueError(f"{lacking} staged rows lack one of {', '.join(REQUIRED)}")
+
+
 def validate_staging(staging: DataFrame) -> None:
-    n = missing_values(staging).first()["rows"]
-    if n:
-        raise ValueError(f"{n} staged rows lack one of {', '.join(REQUIRED)}")
+    require_values(missing_values(staging).first()["rows"])
 
 
 def validate_product_prices(prices: DataFrame, products: DataFrame) -> None:

@@ -53,6 +53,10 @@ PROMOTION_ITEMS = {
 #: Rows and files that a load set aside: what they were meant for, where from, why, and the row as JSON.
 REJECTED = {"target": "string", "source_file": "string", "reason": "string", "row": "string"}
 
+#: What is known of each file: rows are added as its state changes (see FILE_STATES), the last one counts.
+FILES = {"extract_type": "string", "chain": "string", "file_name": "string", "state": "string", "reason": "string", "at": "timestamp"}
+FILE_STATES = ("listed", "landed", "loaded", "rejected")
+
 TABLES = {
     "products": {c: STAGING[c] for c in PRODUCTS},
     "product_prices": {c: STAGING[c] for c in PRICES},
@@ -62,7 +66,11 @@ TABLES = {
     "promotion_groups": PROMOTION_GROUPS,
     "promotion_items": PROMOTION_ITEMS,
     "rejected": REJECTED,
+    "files": FILES,
+    "price_items": {"item_code": "bigint", "extraction_date": "date"},
 }
+#: Tables that loads keep for themselves: the states of files, and the items that each day's prices have.
+INTERNAL = ("files", "price_items")
 KEYS = {
     "products": ["item_code"],
     "product_prices": ["chain_id", "store_id", "item_code", "extraction_date"],
@@ -70,17 +78,20 @@ KEYS = {
     "promotions": ["chain_id", "store_id", "promotion_id", "extraction_date"],
     "promotion_groups": ["chain_id", "store_id", "promotion_id", "group_id", "extraction_date"],
     "promotion_items": ["chain_id", "store_id", "promotion_id", "group_id", "item_code", "extraction_date"],
+    "price_items": ["item_code", "extraction_date"],
 }
 #: Columns that must have a value; the key columns in each table.
-NOT_NULL = KEYS
+NOT_NULL = {t: keys for t, keys in KEYS.items() if t not in INTERNAL}
 #: child table, its columns, parent table.
 REFERENCES = (
     ("product_prices", ["item_code"], "products"),
     ("promotion_groups", KEYS["promotions"], "promotions"),
     ("promotion_items", KEYS["promotion_groups"], "promotion_groups"),
 )
-#: History tables are laid out by day; the day is in each of their keys.
-PARTITIONED = ("product_prices", "promotions", "promotion_groups", "promotion_items")
+#: History tables are laid out by day, which is in each of their keys, and within a day in buckets of these columns.
+PARTITIONED = {"product_prices": ("chain_id", "store_id"), "promotions": ("chain_id", "store_id"), "promotion_groups": ("chain_id", "store_id"), "promotion_items": ("chain_id", "store_id"), "price_items": ("item_code",)}
+#: Buckets of a day.
+BUCKETS = 16
 
 # Element names of the documents, by column.
 PRICE_TAGS = {

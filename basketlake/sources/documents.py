@@ -13,10 +13,10 @@ XML = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "columnNameOfCo
 DOCUMENTS = {"PriceFull": schemas.PRICE_DOCUMENT, "Stores": schemas.STORE_DOCUMENT, "PromoFull": schemas.PROMOTION_DOCUMENT}
 
 
-def read_documents(spark: SparkSession, folder: str, feed: Feed, recursive: bool = True, names: list[str] | None = None) -> DataFrame:
-    """source_file, content: one row a file, unpacked by its ending; of some file names only, the others are not opened.
-    Files that can't be unpacked give no row."""
-    reader = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", feed.glob).option("recursiveFileLookup", recursive)
+def read_documents(spark: SparkSession, folder: str | list[str], feed: Feed, recursive: bool = True, names: list[str] | None = None) -> DataFrame:
+    """source_file, content: one row a file of a folder or of a list of paths, unpacked by its ending; of some file names
+    only, the others are not opened. Files that can't be unpacked give no row."""
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", feed.glob).option("recursiveFileLookup", recursive)
     rows = reader.text(folder, wholetext=True)
     if names is not None:
         rows = rows.where(F.col("_metadata.file_name").isin(names))

@@ -168,7 +168,7 @@ def test_a_load_writes_its_own_days_only(spark, landed, tables):
     assert set(before) < set(after) and [n for f, n in after.items() if f not in before] == [1]
     for _ in range(3):  # old versions go, with the folders that only they list
         jobs.run(tables, str(landed), "fresh2", "price_full")
-    folders = {p.parent.name + "/" + p.name for p in Path(tables.root, "product_prices", "data").glob("write=*/extraction_date=*")}
+    folders = {str(p.relative_to(Path(tables.root, "product_prices", "data"))) for p in Path(tables.root, "product_prices", "data").glob("write=*/extraction_date=*/bucket=*")}
     assert len(folders) == 3 and set(dict(tables._current("product_prices"))) <= folders
 
 
