@@ -20,6 +20,7 @@ from basketlake.operators.upsert import merge_batch, upsert
 from basketlake.plans import jobs
 from basketlake.sources import documents, landing
 from basketlake.sources.tables import Tables, drop_empty_columns, work_folder
+from basketlake.streaming.ingest import stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -674,6 +675,108 @@ def rejected_by_load(spark, sf_dir):
     return tables.read("rejected").groupBy("target", "reason").agg(F.count("*").alias("rows"))
 
 
+# From landed files to tables: the lines of all orders as packed files, one for each store and day.
+
+LANDED_DAYS = ("2026-07-21", "2026-07-22")
+STORE_LINES = """lines AS (SELECT CAST(l_suppkey % 40 AS INT) AS store_id, l_partkey AS item_code, CAST(l_extendedprice AS DECIMAL(10,2)) AS item_price, l_returnflag AS item_name,
+  CASE WHEN l_orderkey % 3 = 0 THEN DATE '2026-07-22' ELSE DATE '2026-07-21' END AS extraction_date FROM lineitem),
+named AS (SELECT *, 'PriceFull7290027600007-001-' || lpad(CAST(store_id AS VARCHAR), 3, '0') || '-' || strftime(extraction_date, '%Y%m%d') || '-030000.gz' AS source_file FROM lines)"""
+#: Of the files, those of some stores are cut off, and those of others are no packed files.
+CUT, BROKEN = (7, 21), (11, 30)
+
+
+def _land(spark: SparkSession, sf_dir: str, damaged: bool = False) -> tuple[str, DataFrame]:
+    """A folder with the landed files, and their names with store and day."""
+    item = F.struct(
+        F.col("l_partkey").cast("string").alias("ItemCode"),
+        F.col("l_returnflag").alias("ItemName"),
+        F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("ItemPrice"),
+    )
+    store, day = (F.col("l_suppkey") % 40).cast("int"), F.when(F.col("l_orderkey") % 3 == 0, LANDED_DAYS[1]).otherwise(LANDED_DAYS[0])
+    docs = table(spark, sf_dir, "lineitem").groupBy(store.alias("store"), day.alias("day")).agg(F.collect_list(item).alias("items"))  # a file's lines
+    root = F.struct(F.col("store").cast("string").alias("StoreID"), F.lit("7290027600007").alias("ChainID"), F.lit("1").alias("SubChainID"), F.struct(F.col("items").alias("Item")).alias("Items"))
+    name = F.concat(F.lit("PriceFull7290027600007-001-"), F.lpad(F.col("store").cast("string"), 3, "0"), F.lit("-"), F.regexp_replace("day", "-", ""), F.lit("-030000.gz"))
+    content = F.to_xml(root, {"rowTag": "Root"})
+    cut = F.when(F.col("store").isin(*CUT), F.substr(content, F.lit(1), F.length(content) - 8)).otherwise(content) if damaged else content
+    named = docs.select(name.alias("source_file"), cut.alias("content"), "store", "day")
+    top = work_folder(spark)
+    folder = f"{top}/price_full/fresh"
+    landing.land_documents(named, folder)
+    names = landing.list_files(spark, folder, text.PRICE_FULL).select("file_name", F.split("file_name", "-")[2].cast("int").alias("store"), F.split("file_name", "-")[3].alias("day"))
+    if damaged:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for r in names.where(F.col("store").isin(*BROKEN)).collect():
+            out = fs.create(path(f"{folder}/{r['file_name']}"), True)
+            out.write(bytearray(b"not packed"))
+            out.close()
+    return top, names
+
+
+PRICES_OF = "SELECT item_code, store_id, max(item_price) AS item_price, source_file, extraction_date FROM named WHERE {} GROUP BY ALL"
+USABLE = f"store_id NOT IN {CUT + BROKEN}"
+NEWEST_OF_TWO_PAGES = "store_id < 30 AND extraction_date = DATE '2026-07-22'"
+PRICE_COLUMNS = ("item_code", "store_id", "item_price", "source_file", "extraction_date")
+
+
+@query(f"WITH {STORE_LINES} {PRICES_OF.format('true')}")
+def landed_prices(spark, sf_dir):
+    """All files of a folder through the load, from unpacking to history."""
+    top, _ = _land(spark, sf_dir)
+    tables = _new_tables(spark)
+    jobs.run(tables, top, "fresh", "price_full")
+    return tables.read("product_prices").select(*PRICE_COLUMNS)
+
+
+@query(f"WITH {STORE_LINES} {PRICES_OF.format(USABLE)}")
+def streamed_prices(spark, sf_dir):
+    """The same files as a stream, some of them damaged, in batches of 30 and two runs of one checkpoint."""
+    top, _ = _land(spark, sf_dir, damaged=True)
+    tables = _new_tables(spark)
+    for _ in range(2):
+        stream_ingest(tables, f"{top}/price_full/fresh", "price_full", f"{top}/checkpoint", max_files=30).awaitTermination()
+    return tables.read("product_prices").select(*PRICE_COLUMNS)
+
+
+@query(
+    f"""WITH {STORE_LINES} SELECT DISTINCT source_file AS file_name, CASE WHEN {USABLE} THEN 'loaded' ELSE 'rejected' END AS state,
+    CASE WHEN store_id IN {CUT} THEN 'malformed' WHEN store_id IN {BROKEN} THEN 'unreadable' END AS reason, CASE WHEN {USABLE} THEN 0 ELSE 1 END AS kept_aside FROM named"""
+)
+def file_states(spark, sf_dir):
+    """What a stream, and a job over the same folder that leaves loaded files out, know of each file; and how often it is
+    among the rejected ones after the stream alone."""
+    top, _ = _land(spark, sf_dir, damaged=True)
+    tables = _new_tables(spark)
+    stream_ingest(tables, f"{top}/price_full/fresh", "price_full", f"{top}/checkpoint", max_files=30).awaitTermination()
+    aside = tables.read("rejected").groupBy(F.col("source_file").alias("file_name")).agg(F.count("*").cast("int").alias("n"))
+    aside = spark.createDataFrame([tuple(r) for r in aside.collect()], aside.schema)  # a row a damaged file
+    jobs.run(tables, top, "fresh", "price_full", jobs.Options(mode="quarantine", skip_loaded=True))
+    return jobs.file_states(tables).join(aside, "file_name", "left").select("file_name", "state", "reason", F.coalesce("n", F.lit(0)).alias("kept_aside"))
+
+
+@query(f"WITH {STORE_LINES} {PRICES_OF.format(NEWEST_OF_TWO_PAGES)}")
+def pages_to_load(spark, sf_dir):
+    """Pages of links, fifteen stores a page, to a load of the first two pages: the newest file of each store there."""
+    top, names = _land(spark, sf_dir)
+    link = F.concat(F.lit('<a href="/files/'), F.col("file_name"), F.lit('?sig='), F.col("store").cast("string"), F.lit('">x</a>'))
+    pages = names.groupBy((F.floor(F.col("store") / 15) + 1).cast("int").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(link)), "\n").alias("html"))
+    tables = _new_tables(spark)
+    jobs.run_pages(tables, pages, "https://prices.example/list", top, "fresh", "price_full", jobs.Options(max_pages=2))
+    return tables.read("product_prices").select(*PRICE_COLUMNS)
+
+
+@query(f"WITH {STORE_LINES} {PRICES_OF.format('store_id BETWEEN 3 AND 8 AND item_code <= 200')}")
+def prices_in_range(spark, sf_dir):
+    """Two loads, a day each, then a read of some stores and items by the least and greatest keys in the manifest."""
+    top, names = _land(spark, sf_dir)
+    tables = _new_tables(spark)
+    for day in LANDED_DAYS:
+        wanted = names.where(F.col("day") == day.replace("-", "")).select("file_name", F.lit("price_full").alias("extract_type"), F.lit("fresh").alias("chain"))
+        chosen = [r[0] for r in wanted.select("file_name").collect()]
+        jobs.load_prices_full(tables, wanted, documents.read_documents(spark, f"{top}/price_full/fresh", text.PRICE_FULL, names=chosen), jobs.Options())
+    return tables.read_range("product_prices", store_id=(3, 8), item_code=(0, 200)).select(*PRICE_COLUMNS)
+
+
 # Checks of all tables over whole batches in which keys repeat, values are missing, and parents are missing.
 
 

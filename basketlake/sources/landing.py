@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -121,6 +123,29 @@ def select_snapshots(snapshots: DataFrame, landed: DataFrame, max_files: int | N
     return skip_existing(chosen, landed)
 
 
+def land_documents(docs: DataFrame, folder: str) -> int:
+    """Writes documents (source_file, content) as files of these names, packed if a name ends in .gz; returns how many.
+    Tasks write the contents; the driver gives each file its name, a rename a file."""
+    spark = docs.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(folder))
+    n = 0
+    for packed in (True, False):
+        some = docs.where(F.endswith(F.lower("source_file"), F.lit(".gz")) == packed)
+        written = f"{folder}/_landing-{uuid.uuid4().hex}"
+        named = some.select("source_file", F.col("content").alias("value")).repartition("source_file")
+        named.write.partitionBy("source_file").option("compression", "gzip" if packed else "none").text(written)
+        for status in fs.listStatus(fs_path(written)):
+            name = status.getPath().getName()
+            if name.startswith("source_file="):
+                (part,) = [f.getPath() for f in fs.listStatus(status.getPath()) if not f.getPath().getName().startswith(("_", "."))]
+                fs.rename(part, fs_path(f"{folder}/{name.removeprefix('source_file=')}"))
+                n += 1
+        fs.delete(fs_path(written), True)
+    return n
+
+
 def skip_existing(selected: DataFrame, landed: DataFrame, key: str = "file_name") -> tuple[DataFrame, DataFrame]:
     """(to fetch, already landed) of the selected files; both are parsed later."""
     names = landed.select(key)
