@@ -363,13 +363,32 @@ def _price_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(name.alias("source_file"), F.to_xml(root, {"rowTag": "Root"}).alias("content"))
 
 
-@query(
+PRICE_DOCUMENTS_SQL = (
     "SELECT CAST(l_partkey AS VARCHAR) AS item_code, l_returnflag AS item_name, CASE WHEN l_linenumber % 2 = 0 THEN '1' ELSE '0' END AS is_weighted, CASE WHEN l_linenumber % 3 = 1 THEN '6' END AS qty_in_package, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS item_price, "
     "l_linestatus AS item_status, CAST(l_orderkey % 5 AS VARCHAR) AS store_id, '7290027600007' AS chain_id, '001' AS sub_chain_id, 'PriceFull7290027600007-001-001-20260722-' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '.gz' AS source_file, '2026-07-22' AS extraction_date FROM lineitem"
 )
+PRICE_DOCUMENT_COLUMNS = ("item_code", "item_name", "is_weighted", "qty_in_package", "item_price", "item_status", "store_id", "chain_id", "sub_chain_id", "source_file", "extraction_date")
+
+
+@query(PRICE_DOCUMENTS_SQL)
 def price_documents(spark, sf_dir):
     parsed = documents.usable(documents.parse_documents(_price_xml(spark, sf_dir), text.PRICE_FULL), text.PRICE_FULL)
-    return documents.price_rows(parsed).select("item_code", "item_name", "is_weighted", "qty_in_package", "item_price", "item_status", "store_id", "chain_id", "sub_chain_id", "source_file", "extraction_date")
+    return documents.price_rows(parsed).select(*PRICE_DOCUMENT_COLUMNS)
+
+
+@query(PRICE_DOCUMENTS_SQL)
+def items_of_any_name(spark, sf_dir):
+    """The same documents with every second item under another name, and comments between items."""
+    line = F.struct(
+        F.col("l_partkey").cast("string").alias("ItemCode"), F.col("l_returnflag").alias("ItemName"), F.when(F.col("l_linenumber") % 2 == 0, "1").alias("bIsWeighted"), F.lit("0").alias("IsWeighted"),
+        F.when(F.col("l_linenumber") % 3 == 0, text.UNKNOWN).when(F.col("l_linenumber") % 3 == 1, " 6 ").otherwise("").alias("QtyInPackage"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("ItemPrice"), F.col("l_linestatus").alias("ItemStatus"),
+    )
+    named = F.when(F.col("l_linenumber") % 2 == 0, F.to_xml(line, {"rowTag": "Product"})).otherwise(F.concat(F.to_xml(line, {"rowTag": "Item"}), F.lit("<!-- next -->")))
+    docs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", named.alias("xml")).alias("item")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("item"))["xml"], "").alias("items"))
+    head = F.concat(F.lit("<Root><StoreID>"), (F.col("l_orderkey") % 5).cast("string"), F.lit("</StoreID><ChainID>7290027600007</ChainID><SubChainID>001</SubChainID><Items>"))
+    name = F.concat(F.lit("PriceFull7290027600007-001-001-20260722-"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit(".gz"))
+    parsed = documents.parse_documents(docs.select(name.alias("source_file"), F.concat(head, "items", F.lit("</Items></Root>")).alias("content")), text.PRICE_FULL)
+    return documents.price_rows(documents.usable(parsed, text.PRICE_FULL)).select(*PRICE_DOCUMENT_COLUMNS)
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS chain_id, r_name AS chain_name, CAST(n_nationkey AS VARCHAR) AS sub_chain_id, n_name AS sub_chain_name, CAST(s_suppkey AS VARCHAR) AS store_id, CASE WHEN s_suppkey % 2 = 0 THEN '1' END AS store_type, s_name AS store_name, ' ' || s_name || ' ' AS address, '2026-08-16' AS extraction_date FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
