@@ -87,7 +87,10 @@ def _header(*names: str) -> list[Column]:
 def price_rows(parsed: DataFrame) -> DataFrame:
     """The staging columns and `position`, one row for each child of Items, whatever its name. Values are not trimmed; an
     empty element is null, and a child without elements a row of nulls."""
-    items = parsed.select("source_file", "extraction_date", *_header("store_id", "chain_id", "sub_chain_id"), F.posexplode("doc.Items.Item").alias("position", "i"))
+    return _price_columns(parsed.select("source_file", "extraction_date", *_header("store_id", "chain_id", "sub_chain_id"), F.posexplode("doc.Items.Item").alias("position", "i")))
+
+
+def _price_columns(items: DataFrame) -> DataFrame:
     tag = lambda column: text.none_if_empty(F.col(f"i.{schemas.PRICE_TAGS[column]}"))
     columns = {c: tag(c) for c in schemas.PRICE_TAGS}
     columns["is_weighted"] = text.first_filled(F.col("i.bIsWeighted"), text.none_if_empty(F.col("i.IsWeighted")))
@@ -96,6 +99,43 @@ def price_rows(parsed: DataFrame) -> DataFrame:
     return rows.select(*schemas.STAGING, "position")
 
 
+#: Tags of a price document that are no items: those around them, and those within them.
+FRAME = ("Root", "Items", "Item", "StoreID", "ChainID", "SubChainID")
+
+
+def price_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(price_rows, judged files) of price documents of any size: items are read one by one as the file is unpacked, so no
+    document is ever one value.
+
+    A first pass reads the files cut at each `<`, a row a tag, for the header and whether the document is whole; it gives a
+    row a file: source_file, store_id, chain_id, sub_chain_id, extraction_date, reason (null: used). Files in which tags of
+    other names stand around elements are set aside ("other items"): records are read by the name Item."""
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    tags = reader.option("lineSep", "<").text(paths).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_extract("value", r"^(/?[^\s>/!?]+)", 1).alias("tag"), F.regexp_extract("value", r"(?s)>(.*)$", 1).alias("said"), F.regexp_like("value", F.lit(r"/>")).alias("empty"))
+    header = {"store_id": "storeid", "chain_id": "chainid", "sub_chain_id": "subchainid"}
+    name = F.lower("tag")
+    known = [t.lower() for t in (*FRAME, *schemas.PRICE_TAGS.values(), "IsWeighted")]
+    opening = (F.col("tag") != "") & ~F.startswith("tag", F.lit("/"))
+    kinds = tags.groupBy("source_file", name.alias("tag")).agg(F.count("*").alias("n"), F.max(text.strip(F.col("said"))).alias("said"), F.max("empty").alias("empty"), F.max(opening).alias("opening"))  # a row a tag
+    around = F.col("opening") & ~F.col("tag").isin(known) & (F.col("said") == "") & ~F.col("empty")
+    one = lambda t, c: F.max(F.when(F.col("tag") == t, F.col(c)))
+    heads = kinds.groupBy("source_file").agg(*(text.none_if_empty(one(t, "said")).alias(c) for c, t in header.items()), one("items", "n").alias("opened"), one("/items", "n").alias("closed"), one("/root", "n").alias("ended"), F.max(around).alias("others"))
+    items = reader.format("xml").options(rowTag="Item", ignoreSurroundingSpaces="false", columnNameOfCorruptRecord="_corrupt_record").schema(schemas.PRICE_ITEM).load(paths)
+    rows = items.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("position"), F.struct(*(c for c in items.columns if c != "_corrupt_record")).alias("i"), "_corrupt_record")
+    broken = rows.groupBy("source_file").agg(F.max(F.col("_corrupt_record").isNotNull()).alias("broken"), F.count("i.ItemCode").alias("coded"))
+    day = text.day_of(F.col("source_file"), text.PRICE_FULL)
+    whole = (F.col("opened") == 1) & (F.col("closed") == 1) & ~F.coalesce("broken", F.lit(False))
+    reason = F.when(F.col("opened").isNull() & F.col("ended").isNotNull(), "empty").when(~F.coalesce(whole, F.lit(False)), "malformed").when(day.isNull(), "no date in name").when(F.col("others"), "other items")
+    files = heads.join(broken, "source_file", "left").select("source_file", *header, day.alias("extraction_date"), reason.alias("reason"), F.coalesce("coded", F.lit(0)).alias("coded"))
+    return rows, files
+
+
+def price_rows_of_records(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """price_rows of records and judged files, a row a file."""
+    used = files.where("reason is null").drop("reason", "coded")
+    return _price_columns(rows.where("_corrupt_record is null").join(F.broadcast(used), "source_file"))
+
+
 def store_rows(parsed: DataFrame) -> DataFrame:
     """The store columns and `position`, one row a store. Ids are cleaned, other text stays as it is."""
     groups = parsed.select("source_file", "extraction_date", *_header("chain_id", "chain_name"), F.posexplode("doc.SubChains.SubChain").alias("group", "g"))

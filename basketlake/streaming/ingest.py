@@ -36,13 +36,14 @@ def stream_ingest(tables: Tables, folder: str, extract_type: str, checkpoint: st
     feed = jobs.FEEDS[extract_type]
     options = options or jobs.Options(mode="quarantine")
     reader = tables.spark.readStream.format("binaryFile").schema(LISTED).option("pathGlobFilter", feed.glob).option("recursiveFileLookup", True)
-    files = reader.option("maxFilesPerTrigger", max_files).load(folder).select("path")
+    files = reader.option("maxFilesPerTrigger", max_files).load(folder).select("path", "length")
 
     def merge(batch: DataFrame, number: int) -> None:
-        paths = sorted(r["path"] for r in batch.collect())  # max_files at most
+        files = sorted((r["path"], r["length"]) for r in batch.collect())  # max_files at most
+        paths = [path for path, _ in files]
         parts = F.split("path", "/")
-        listing = tables.spark.createDataFrame([(p,) for p in paths], "path string").select(
-            "path", F.element_at(parts, -1).alias("file_name"), F.coalesce(F.try_element_at(parts, F.lit(-3)), F.lit("")).alias("extract_type"), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).alias("chain")
+        listing = tables.spark.createDataFrame(files, "path string, length long").select(
+            "path", "length", F.element_at(parts, -1).alias("file_name"), F.coalesce(F.try_element_at(parts, F.lit(-3)), F.lit("")).alias("extract_type"), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).alias("chain")
         )
         if options.skip_loaded:
             known = {tuple(r) for r in jobs.file_states(tables).where("state = 'loaded'").join(listing, ["extract_type", "chain", "file_name"], "left_semi").select("extract_type", "chain", "file_name").collect()}
@@ -50,6 +51,9 @@ def stream_ingest(tables: Tables, folder: str, extract_type: str, checkpoint: st
             listing = listing.where(F.col("path").isin(paths))
         if paths:
             with tables.batch(query_id(tables, checkpoint), number):
-                jobs.LOADS[extract_type](tables, listing, documents.read_documents(tables.spark, paths, feed), options)
+                large = jobs.large_files(listing, feed, options)
+                small = [p for p in paths if p not in large]
+                contents = documents.read_documents(tables.spark, small, feed) if small else tables.spark.createDataFrame([], "source_file string, content string")
+                jobs.LOADS[extract_type](tables, listing, contents, options)
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
