@@ -796,6 +796,49 @@ def prices_in_range(spark, sf_dir):
     return tables.read_range("product_prices", store_id=(3, 8), item_code=(0, 200)).select(*PRICE_COLUMNS)
 
 
+def _refused(load: Callable[[], object]) -> str:
+    """What a load that must fail says."""
+    try:
+        load()
+    except ValueError as e:
+        return str(e)
+    raise RuntimeError("the load did not fail")
+
+
+@query(
+    """SELECT CAST(l_suppkey % 40 AS INT) AS store_id, count(*) AS staged, CAST(count_if(l_linenumber % 4 = 1) AS BIGINT) AS without_price,
+      (SELECT count(*) FROM lineitem WHERE l_linenumber % 4 = 1) || ' staged rows lack one of item_code, store_id, extraction_date, item_price' AS said, 0 AS loaded FROM lineitem GROUP BY 1"""
+)
+def staged_after_failed_check(spark, sf_dir):
+    """A batch in which each fourth line has no price: the load ends at its first check, the batch stays staged, and nothing
+    is loaded."""
+    item = F.struct(F.col("l_partkey").cast("string").alias("ItemCode"), F.when(F.col("l_linenumber") % 4 != 1, "1.00").otherwise("").alias("ItemPrice"))
+    docs = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).cast("int").alias("store")).agg(F.collect_list(item).alias("items"))  # a file's lines
+    root = F.struct(F.col("store").cast("string").alias("StoreID"), F.lit("1").alias("ChainID"), F.struct(F.col("items").alias("Item")).alias("Items"))
+    name = F.concat(F.lit("PriceFull1-001-"), F.lpad(F.col("store").cast("string"), 3, "0"), F.lit("-20260722-030000.gz"))
+    contents = docs.select(name.alias("source_file"), F.to_xml(root, {"rowTag": "Root"}).alias("content"))
+    tables = _new_tables(spark)
+    said = _refused(lambda: jobs.load_prices_full(tables, None, contents, jobs.Options()))
+    staged = tables.read("products_staging").groupBy("store_id").agg(F.count("*").alias("staged"), F.count_if(F.col("item_price").isNull()).alias("without_price"))
+    return staged.select("*", F.lit(said).alias("said"), F.lit(tables.rows("products") + tables.rows("product_prices")).cast("int").alias("loaded"))
+
+
+@query(
+    f"""WITH {OBS}, p AS (SELECT DISTINCT {PRICE_KEY} FROM obs)
+    SELECT extraction_date, count(*) AS lost, (SELECT count(*) FROM p WHERE item_code % 10 = 3) || ' prices have no product' AS said FROM p WHERE item_code % 10 = 3 GROUP BY 1"""
+)
+def history_without_products(spark, sf_dir):
+    """Prices of all days, then products of which a tenth has gone: the check of the whole history says how many prices
+    are left without one, by the items of each day."""
+    tables = _new_tables(spark)
+    obs = observations(spark, sf_dir)
+    jobs.merge_into(tables, "product_prices", latest_prices(obs))
+    tables.overwrite("products", latest_products(obs).where("item_code % 10 <> 3"))
+    said = _refused(lambda: jobs.validate_history(tables))
+    lost = quality.orphan_prices(tables.read("product_prices"), tables.read("products"))
+    return lost.groupBy("extraction_date").agg(F.count("*").alias("lost")).withColumn("said", F.lit(said))
+
+
 # Checks of all tables over whole batches in which keys repeat, values are missing, and parents are missing.
 
 
