@@ -13,6 +13,7 @@ length are searched whole. Columns named like the results are not read; `find_pi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,7 @@ class Detector:
     pattern: str
     score: float
     needs: str = ""  # a part of every match; texts without it aren't searched
+    begins: str = ""  # a simple pattern that every match has; the same, where there is no such part
     check: object = None
     required: bool = True
     context: str = ""  # words that add to the score
@@ -84,15 +86,15 @@ def _iban() -> str:
 #: an earlier start would have matched too; their leftmost matches stay the same and long runs cost linear time.
 DETECTORS = (
     Detector("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.6, "@"),
-    Detector("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, ".", _is_ip),
-    Detector("card", r"[0-9](?:[ -]?[0-9])++", 0.6, "", lambda m: _luhn(m, 16, 19), context="card|visa|credit|debit|payment|carte|tarjeta|karte"),
-    Detector("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, "+", lambda m: F.length(_digits(m)).between(8, 15), context="phone|tel|call|mobile|fax"),
-    Detector("iban", _iban(), 0.5, "", _mod_97, context="iban|account|bank|konto|compte|cuenta"),
-    Detector("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9]|[ -][0-9])", 0.2, "", lambda m: _luhn(m, 13, 15), context="card|visa|amex|credit|debit|carte|tarjeta|karte"),
+    Detector("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, ".", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", _is_ip),
+    Detector("card", r"[0-9](?:[ -]?[0-9])++", 0.6, "", r"[0-9](?:[ -]?[0-9]){15}", lambda m: _luhn(m, 16, 19), context="card|visa|credit|debit|payment|carte|tarjeta|karte"),
+    Detector("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, "+", "", lambda m: F.length(_digits(m)).between(8, 15), context="phone|tel|call|mobile|fax"),
+    Detector("iban", _iban(), 0.5, "", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]", _mod_97, context="iban|account|bank|konto|compte|cuenta"),
+    Detector("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9]|[ -][0-9])", 0.2, "", "[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4}", lambda m: _luhn(m, 13, 15), context="card|visa|amex|credit|debit|carte|tarjeta|karte"),
     Detector("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, "-", context="ssn|social security|tax id"),
-    Detector("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", 0.2, "", context="phone|tel|call|mobile|fax"),
+    Detector("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", 0.2, "", r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", context="phone|tel|call|mobile|fax"),
     Detector("access_key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", 0.7, "AKIA"),
-    Detector("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|secret|api_?key|token)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_.~-]{8,}+\"?", 0.7, ""),
+    Detector("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|secret|api_?key|token)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_.~-]{8,}+\"?", 0.7, "", r"(?i)(?:word|passwd|secret|key|token)\s{0,3}[=:]"),
 )
 
 
@@ -139,7 +141,9 @@ def _spans(text: Column, d: Detector) -> Column:
         return F.when(F.size(parts) < 3, nothing).otherwise(some)
 
     marked = F.split(F.regexp_replace(text, d.pattern, f"{MARK}$0{MARK}"), MARK)
-    return (F.when(F.contains(text, F.lit(d.needs)), _let(marked, listed)).otherwise(nothing) if d.needs else _let(marked, listed)).cast(kind)
+    may = [F.contains(text, F.lit(d.needs))] * bool(d.needs) + [text.rlike(d.begins)] * bool(d.begins)
+    found = _let(marked, listed)
+    return (F.when(reduce(lambda a, b: a & b, may), found).otherwise(nothing) if may else found).cast(kind)
 
 
 def _searched(docs: DataFrame) -> Column:
