@@ -13,7 +13,8 @@ Documents link when `percent` * union <= 100 * intersection. The join is exact,
 4. Prefix tree. A family's whole sets, ordered by count, go into a compressed tree. Sets walk it, several at once, adding
    up overlaps of shared stretches once for all sets below; each leaves out subtrees whose remaining lengths can't reach
    the threshold or whose sets are all in its own component already. One task takes sets of UNIT n-grams at most, so larger families are
-   walked in turns: each block by itself; then one set of each component so far, while that joins components; then, for
+   walked in turns: each block by itself; then, of the sets that have enough n-grams in common with their family as a whole,
+   one of each component so far, while that joins components; then, for
    the links that representatives can't show, pairs of blocks in which sets of different components still share a
    candidate n-gram. Sets of one large component are never held against each other again.
 5. Components of the links, with the smallest doc_id over all rows of their classes.
@@ -328,6 +329,7 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
 
     # one set of each component, while that joins components
     some = scratch.save(members.join(shared.bounded(large), "family", "left_semi"), "several", n_members)
+    some = scratch.save(_able(some, whole, percent), "able", n_members)
     at, before = 0, some.count()
     while True:
         at += 1
@@ -366,6 +368,16 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     return scratch.save(shared.components(links, scratch, "closing", links.count()), "components", n_members)
 
 
+def _able(sets: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The sets of families (rid, family, cost) of whose n-grams `percent` or more are in other sets of the family, too;
+    the others can't link. Only n-grams that one set alone has are counted back, by their owner, so nothing is joined."""
+    each = whole.join(shared.bounded(sets.select("rid", "family"), sets), "rid").select("family", "rid", F.explode("grams").alias("gram"))
+    own = each.groupBy("family", "gram").agg(F.min("rid").alias("rid"), F.count("*").alias("sets")).where("sets = 1")
+    own = own.groupBy("rid").agg(F.count("*").alias("own"))
+    n = F.col("cost") - SET
+    return sets.join(own, "rid", "left").where((n - F.coalesce("own", F.lit(0))) * 100 >= n * percent).drop("own")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     return _grouped(docs, n, percent).select("doc_id", "n_shingles", "component_id")
