@@ -294,20 +294,22 @@ def _leaks_of_block(coded: DataFrame, vocabulary: Vocabulary, items: list, scrat
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
         reach = np.array([max(2, len(c) // STRIDE + 1) for c in x.codes])  # passages of an item's windows
-        asked = np.zeros(unknown + 1, dtype=np.int64)
-        asked[[c for terms, usual in zip(x.answers, x.usual, strict=True) if usual for c in terms]] = 1
-        least = min((answers_needed(terms) for terms, usual in zip(x.answers, x.usual, strict=True) if usual), default=1)
+        asked, least = {}, {}  # by reach: the answer terms of its items, and how many an item needs at least
+        for terms, usual, k in zip(x.answers, x.usual.tolist(), reach.tolist(), strict=True):
+            if usual:
+                asked.setdefault(k, np.zeros(unknown + 1, dtype=np.int64))[list(terms)] = 1
+                least[k] = min(least.get(k, len(terms)), answers_needed(terms))
         for rows, codes, upto, starts, row_first in parts(batches):
             count = len(starts)
             row = np.repeat(np.arange(len(rows)), np.diff(row_first))
             begin, stop = row_first[row], row_first[row + 1]
             place = np.arange(count)
-            met = np.concatenate([[0], np.cumsum(asked[codes])])[np.append(starts, len(codes))]
             kept: dict[int, np.ndarray] = {}
             need = np.zeros(count + 1, dtype=np.int64)
-            for k in np.unique(reach[x.usual]).tolist():
+            for k in sorted(asked):
+                met = np.concatenate([[0], np.cumsum(asked[k][codes])])[np.append(starts, len(codes))]
                 around = met[np.minimum(place + k + 1, stop)] - met[np.maximum(place - 1, begin)]
-                kept[k] = np.flatnonzero(around >= least)
+                kept[k] = np.flatnonzero(around >= least[k])
                 np.add.at(need, kept[k], 1)
                 np.add.at(need, np.minimum(kept[k] + k, stop[kept[k]]), -1)
             wanted = np.repeat(np.cumsum(need)[:count] > 0, np.diff(np.append(starts, len(codes))))
