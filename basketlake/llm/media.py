@@ -312,15 +312,26 @@ def query_classes(asked: DataFrame, scratch: shared.Scratch) -> DataFrame:
     return asked.select("query").distinct().join(attached, "query", "left").withColumn("asked_class", F.coalesce("asked_class", "query"))
 
 
+def _twins(asked: DataFrame) -> DataFrame:
+    """query, twin: queries with equal keypoints get the number of the least one."""
+    keypoint = ["x", "y", "scale", "angle", "low", "high"]
+    digests = [F.bit_xor(F.xxhash64(*keypoint)).alias("d1"), F.bit_xor(F.xxhash64(F.lit(1), *keypoint)).alias("d2")]
+    digested = asked.groupBy("query").agg(F.count("*").alias("n"), *digests)
+    return digested.join(digested.groupBy("n", "d1", "d2").agg(F.min("query").alias("twin")), ["n", "d1", "d2"]).select("query", "twin")
+
+
 def copy_classes(images: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """copy_groups for groups of any size: (query, asked_class) of the queries with keypoints, and (asked_class, class,
     matches) of the images that are copies of a class. The links are the pairs of both over asked_class; a group with Q
-    queries and I images takes Q + I rows, not Q * I. The queries of a class show one picture all over (see `alike`), so
-    they have the same copies, but for images that are at the edge of being found (MATCHES keypoints or hardly more)."""
+    queries and I images takes Q + I rows, not Q * I. The queries of a class show one picture all over (see `alike`). Each
+    query is searched for, equal ones once, and a class has what any of its queries finds, with the most keypoints: so no
+    link of copy_groups is left out; an image at the edge of being found (MATCHES keypoints or hardly more) counts for all."""
     scratch = shared.Scratch(images.sparkSession, "media")
     every = scratch.save(described_images(images, "class"), "keypoints")
     asked = scratch.save(described_images(queries, "query"), "asked")
-    classes = scratch.save(query_classes(asked, scratch), "classes")
-    standing = classes.where("query = asked_class").select("query")
-    found = _matched(every, scratch.save(asked.join(standing, "query", "left_semi"), "standing"))
-    return classes, scratch.save(found.withColumnRenamed("query", "asked_class"), "found")
+    twins = scratch.save(_twins(asked), "twins")
+    searched = scratch.save(asked.join(twins.where("query = twin").select("query"), "query", "left_semi"), "searched")
+    own = scratch.save(query_classes(searched, scratch), "own")
+    found = _matched(every, searched).join(own, "query").groupBy("asked_class", "class").agg(F.max("matches").alias("matches"))
+    classes = twins.join(own.withColumnRenamed("query", "twin"), "twin").select("query", "asked_class")
+    return scratch.save(classes, "classes"), scratch.save(found, "found")
