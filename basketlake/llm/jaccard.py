@@ -13,8 +13,9 @@ Documents link when `percent` * union <= 100 * intersection. The join is exact,
 4. Prefix tree. A family's whole sets, ordered by count, go into a compressed tree. Sets walk it, several at once, adding
    up overlaps of shared stretches once for all sets below; each leaves out subtrees whose remaining lengths can't reach
    the threshold or whose sets are all in its own component already. One task takes sets of UNIT n-grams at most, so larger families are
-   walked in turns: each block by itself; then, of the sets that have enough n-grams in common with their family as a whole,
-   one of each component so far, while that joins components; then, for
+   walked in turns: each block by itself; then, of the sets that have enough n-grams in common with their family as a whole
+   to link with a set of the least size there, one of each component so far (that with the smallest share of n-grams
+   of its own, which is next to most others), while that joins components; then, for
    the links that representatives can't show, pairs of blocks in which sets of different components still share a
    candidate n-gram. Sets of one large component are never held against each other again.
 5. Components of the links, with the smallest doc_id over all rows of their classes.
@@ -243,8 +244,8 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     found = shared.mapped(text, sets, f"doc_id long, {shared.TEXT_HASH} long, n long, size_class int, k1 long, k2 long, n_low int, part array<long>")
     found = scratch.save(found.withColumn("rid", F.monotonically_increasing_id()), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", shared.TEXT_HASH))
-    classes = found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), first.alias("first"))
-    classes = scratch.save(classes.select("k1", "k2", "n", "rid", F.col("first.doc_id").alias("first"), F.col(f"first.{shared.TEXT_HASH}").alias("first_hash")), "classes")
+    classes = found.where("n > 0").groupBy("k1", "k2", "n", "size_class").agg(F.min("rid").alias("rid"), first.alias("first"))
+    classes = scratch.save(classes.select("k1", "k2", "n", "size_class", "rid", F.col("first.doc_id").alias("first"), F.col(f"first.{shared.TEXT_HASH}").alias("first_hash")), "classes")
     later = scratch.save(found.where("n > 0").select("rid").join(classes.select("rid"), "rid", "left_anti"), "later")
     single = found.where("n > 0").join(shared.bounded(later), "rid", "left_anti")
 
@@ -262,16 +263,17 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
         mine = known.withColumn("pairing", pairing).where("pairing >= 0").withColumn("mine", F.array_sort(F.filter("common", lambda g: g["gram"] < below)))
         mine = mine.withColumn("take", F.col("missing") + 1 - (F.col(held) - F.size("mine"))).where("take > 0 and size(mine) > 0")
         firsts = F.slice("mine", F.lit(1), F.col("take").cast("int"))
-        return mine.select("rid", "pairing", F.explode(firsts).alias("g")).select("rid", "pairing", F.col("g.gram").alias("gram"))
+        return mine.select("rid", "pairing", F.transform(firsts, lambda g: g["gram"]).alias("grams"))
 
     known = scratch.save(known, "known")
     firsts = scratch.save(prefix(F.col("size_class"), "n_low").unionByName(prefix(F.col("size_class") - 1, "n_high")), "firsts")
     scratch.drop("known", "counts", "later")
-    hubs = firsts.groupBy("pairing", "gram").agg(F.min("rid").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    most = firsts.count()
-    ties = firsts.join(scratch.save(hubs, "hubs", most), ["pairing", "gram"]).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    each = firsts.select("rid", "pairing", F.explode("grams").alias("gram"))
+    hubs = each.groupBy("pairing", "gram").agg(F.min("rid").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    most = firsts.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    ties = each.join(scratch.save(hubs, "hubs", most), ["pairing", "gram"]).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
     family = scratch.save(shared.components(ties, scratch, "ties", most), "family", most).select(F.col("node").alias("rid"), F.col("root").alias("family"))
-    joined = _links_in_families(text, family, classes, firsts, n, percent, scratch)
+    joined = _links_in_families(text, family, classes, firsts, most, n, percent, scratch)
 
     # the smallest doc_id of each component, for all rows of its classes
     rooted = classes.join(joined, classes["rid"] == joined["node"], "left").select("k1", "k2", "first", F.coalesce("root", "rid").alias("root"))
@@ -286,8 +288,8 @@ def listed(rows: list[np.ndarray] | tuple[np.ndarray, ...]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
 
 
-def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, firsts: DataFrame, n: int, percent: int, scratch: shared.Scratch) -> DataFrame:
-    """node, root: components of the links between the sets of families (rid, family)."""
+def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, firsts: DataFrame, most: int, n: int, percent: int, scratch: shared.Scratch) -> DataFrame:
+    """node, root: components of the links between the sets of families (rid, family). `firsts` has `most` n-grams in all."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +299,12 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
                 yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), listed(found)], names=["k1", "k2", "grams"])
 
     n_members = family.count()
-    members = scratch.save(family.join(classes, "rid").select("rid", "family", "k1", "k2", (F.col("n") + SET).alias("cost"), F.col("first").alias("doc_id"), F.col("first_hash").alias(shared.TEXT_HASH)), "members", n_members)
+    members = scratch.save(family.join(classes, "rid").select("rid", "family", "k1", "k2", "size_class", (F.col("n") + SET).alias("cost"), F.col("first").alias("doc_id"), F.col("first_hash").alias(shared.TEXT_HASH)), "members", n_members)
     owners = shared.without(text, members.select("doc_id", shared.TEXT_HASH), "left_semi")
     again = shared.mapped(owners, grams, "k1 long, k2 long, grams array<long>")
     again = again.join(shared.bounded(members.select("k1", "k2", "rid")), ["k1", "k2"])
     whole = scratch.save(again.groupBy("rid").agg(F.any_value("grams").alias("grams")), "whole")  # rows with the owner's id and text, once
-    members = members.select("rid", "family", "cost")
+    members = members.select("rid", "family", "size_class", "cost")
 
     def walked(units: DataFrame, name: str) -> DataFrame:
         """Links within units: rid, comp (component so far), walks, and family, low, high, which name the unit. Sets of a
@@ -334,8 +336,10 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
     while True:
         at += 1
         state = scratch.save(with_components(some, links, f"turn-{at}"), f"state-{at}", n_members)
-        heads = state.where("rid = comp")
-        left = heads.count()
+        best = state.groupBy("comp").agg(F.min(F.struct("alone", "rid")).alias("best"))  # the set most like its family
+        best = scratch.save(best.select(F.col("best.rid").alias("rid")), f"best-{at}", n_members)
+        heads = state.join(shared.bounded(best), "rid", "left_semi")
+        left = best.count()
         if left > 0.7 * before:
             break
         units, several = in_blocks(heads, f"heads-{at}")
@@ -347,9 +351,10 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
         before = left
 
     # sets of different components that share a candidate n-gram, in pairs of blocks
-    placed = firsts.join(shared.bounded(state.select("rid", "comp"), state), "rid")
+    placed = scratch.save(firsts.join(shared.bounded(state.select("rid", "comp"), state), "rid"), "placed", most)  # two rows a set at most
+    placed = placed.select("rid", "comp", "pairing", F.explode("grams").alias("gram"))
     mixed = placed.groupBy("pairing", "gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("pairing", "gram")
-    mixed = scratch.save(mixed, "mixed", firsts.count())
+    mixed = scratch.save(mixed, "mixed", most)
     open_ = scratch.save(placed.join(mixed, ["pairing", "gram"]).select("rid").distinct(), "open", n_members)
     state = state.join(shared.bounded(open_), "rid", "left_semi")
     half = F.lit(UNIT // 2)
@@ -369,13 +374,20 @@ def _links_in_families(text: DataFrame, family: DataFrame, classes: DataFrame, f
 
 
 def _able(sets: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The sets of families (rid, family, cost) of whose n-grams `percent` or more are in other sets of the family, too;
-    the others can't link. Only n-grams that one set alone has are counted back, by their owner, so nothing is joined."""
+    """The sets of families (rid, family, size_class, cost) of whose n-grams so many are in other sets of the family, too,
+    that they reach the threshold with the smallest set there that their size lets them link with; the others can't link.
+    `alone` is the share of n-grams that no other set of the family has.
+    Only n-grams that one set alone has are counted back, by their owner, so nothing is joined."""
     each = whole.join(shared.bounded(sets.select("rid", "family"), sets), "rid").select("family", "rid", F.explode("grams").alias("gram"))
     own = each.groupBy("family", "gram").agg(F.min("rid").alias("rid"), F.count("*").alias("sets")).where("sets = 1")
     own = own.groupBy("rid").agg(F.count("*").alias("own"))
     n = F.col("cost") - SET
-    return sets.join(own, "rid", "left").where((n - F.coalesce("own", F.lit(0))) * 100 >= n * percent).drop("own")
+    classes = F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class")  # a set's own, and the one above
+    least = sets.select("family", n.alias("n"), classes).groupBy("family", "size_class").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(n * percent / F.lit(100)))
+    sets = sets.join(least, ["family", "size_class"]).join(own, "rid", "left")
+    able = (n - F.coalesce("own", F.lit(0))) * (100 + percent) >= (n + partner) * percent
+    return sets.where(able).select("rid", "family", "cost", (F.coalesce("own", F.lit(0)) / n).alias("alone"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
