@@ -59,6 +59,16 @@ def observations(spark: SparkSession, sf_dir: str, lines: DataFrame | None = Non
     return lines.select(*(F.expr(e).alias(c) for c, e in given.items()), F.col("l_orderkey").alias("order_key"))
 
 
+def newest_observations(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Each item's observations of its newest day. The days are found by numbers alone, so that of all other lines no
+    wide rows are made and sorted."""
+    lines, day = table(spark, sf_dir, "lineitem").where(where), F.year("l_shipdate")
+    last = F.when(~F.max(day.isNull()), F.max(day))  # a null day is the first in order
+    newest = lines.groupBy(F.col("l_partkey").alias("part")).agg(last.alias("newest"))
+    of_newest = (F.col("l_partkey") == F.col("part")) & day.eqNullSafe(F.col("newest"))
+    return observations(spark, sf_dir, lines.join(newest.hint("shuffle_hash"), of_newest, "left_semi"))
+
+
 OBS = """obs AS (SELECT l_partkey AS item_code, p_name AS item_name, p_brand AS manufacture_name, nullif(p_brand, 'Brand#11') AS manufacture_country,
   p_type AS manufacture_item_description, l_returnflag AS unit_qty, l_quantity AS quantity, l_linestatus AS unit_of_measure, l_linestatus = 'O' AS is_weighted,
   p_size AS qty_in_package, CAST(l_extendedprice AS DECIMAL(10,2)) AS item_price, CAST(p_retailprice AS DECIMAL(10,2)) AS unit_of_measure_price,
@@ -88,7 +98,7 @@ def _top(name: str, source: str, keys: str, order: str, where: str = "true") ->
 
 @query(f"WITH {OBS}, {_top('top', 'obs', 'item_code', PRODUCT_ORDER)} SELECT {PRODUCT_OUT} FROM top")
 def latest_products_query(spark, sf_dir):
-    return latest_products(observations(spark, sf_dir)).selectExpr(*_columns(PRODUCT_OUT))
+    return latest_products(newest_observations(spark, sf_dir)).selectExpr(*_columns(PRODUCT_OUT))
 
 
 def _columns(listed: str) -> list[str]:
@@ -114,8 +124,8 @@ HALVES = f"{OBS}, {_top('old', 'obs', 'item_code', PRODUCT_ORDER, 'order_key % 2
 
 def _product_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two batches that together have all observations: what is there, and what comes in."""
-    obs = observations(spark, sf_dir)
-    return latest_products(obs.where("order_key % 2 = 0")), latest_products(obs.where("order_key % 2 = 1"))
+    even, odd = (newest_observations(spark, sf_dir, f"l_orderkey % 2 = {i}") for i in (0, 1))
+    return latest_products(even), latest_products(odd)
 
 
 @query(f"WITH {HALVES} SELECT {PRODUCT_OUT} FROM old WHERE item_code NOT IN (SELECT item_code FROM new) UNION ALL SELECT {PRODUCT_OUT} FROM new")
@@ -857,7 +867,7 @@ def history_without_products(spark, sf_dir):
     tables = _new_tables(spark)
     obs = observations(spark, sf_dir)
     jobs.merge_into(tables, "product_prices", latest_prices(obs))
-    tables.overwrite("products", latest_products(obs).where("item_code % 10 <> 3"))
+    tables.overwrite("products", latest_products(newest_observations(spark, sf_dir)).where("item_code % 10 <> 3"))
     said = _refused(lambda: jobs.validate_history(tables))
     lost = quality.orphan_prices(tables.read("product_prices"), tables.read("products"))
     return lost.groupBy("extraction_date").agg(F.count("*").alias("lost")).withColumn("said", F.lit(said))
