@@ -108,30 +108,42 @@ def price_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     document is ever one value.
 
     A first pass reads the files cut at each `<`, a row a tag, for the header and whether the document is whole; it gives a
-    row a file: source_file, store_id, chain_id, sub_chain_id, extraction_date, reason (null: used). Files in which tags of
-    other names stand around elements are set aside ("other items"): records are read by the name Item."""
+    row a file: source_file, store_id, chain_id, sub_chain_id, extraction_date, reason (null: used). A document is whole if
+    each tag is ended and each element closed; where comments, CDATA or quoted `>` may hold what looks like tags, this is
+    asked of the tags around the items alone. Files in which tags of other names stand around elements are set aside ("other
+    items"): records are read by the name Item."""
     reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     # what is counted of each tag is numbers, by the text before its first ">", so a pass keeps a row for each kind of tag
     header = {"store_id": "storeid", "chain_id": "chainid", "sub_chain_id": "subchainid"}
     cut = reader.option("lineSep", "<").text(paths).select(F.col("_metadata.file_name").alias("source_file"), "value", F.substring_index("value", ">", 1).alias("mark"), F.instr("value", ">").alias("end"))
-    tags = cut.select("source_file", "mark", F.when(F.col("end") > 0, F.substr("value", F.col("end") + 1)).otherwise("").alias("said"))
+    tags = cut.select("source_file", "mark", (F.col("end") == 0).alias("cut"), F.when(F.col("end") > 0, F.substr("value", F.col("end") + 1)).otherwise("").alias("said"))
     begins = F.lower(F.left("mark", F.lit(max(map(len, header.values())))))
     shown = F.when(reduce(lambda a, b: a | b, (F.startswith(begins, F.lit(t)) for t in header.values())), text.strip(F.col("said")))
     filled = F.when(F.ascii("said").between(33, 126), True).otherwise(F.col("said").rlike(r"(?U)\S"))
-    marks = tags.groupBy("source_file", "mark", shown.alias("shown")).agg(F.count("*").alias("n"), F.max(filled).alias("filled"))
+    marks = tags.groupBy("source_file", "mark", shown.alias("shown")).agg(F.count("*").alias("n"), F.max(filled).alias("filled"), F.max("cut").alias("cut"))
     found = F.regexp_extract("mark", r"^(/?[^\s>/!?]+)", 1)
     known = [t.lower() for t in (*FRAME, *schemas.PRICE_TAGS.values(), "IsWeighted")]
-    opening = (F.col("tag") != "") & ~F.startswith("tag", F.lit("/"))
-    kinds = marks.withColumn("tag", found).groupBy("source_file", F.lower("tag").alias("tag")).agg(F.sum("n").alias("n"), F.max("shown").alias("said"), F.max("filled").alias("filled"), F.max(F.endswith("mark", F.lit("/"))).alias("empty"), F.max(opening).alias("opening"))  # a row a tag
-    around = F.col("opening") & ~F.col("tag").isin(known) & ~F.col("filled") & ~F.col("empty")
+    closing = F.startswith("tag", F.lit("/"))
+    opening, alone = (F.col("tag") != "") & ~closing, F.endswith("mark", F.lit("/"))
+    hides = F.startswith("mark", F.lit("!")) | ((F.length("mark") - F.length(F.replace("mark", F.lit('"')))) % 2 > 0) | ((F.length("mark") - F.length(F.replace("mark", F.lit("'")))) % 2 > 0)
+    of = lambda which, c: F.max(F.when(which, c))
+    left = F.sum(F.when(closing, -F.col("n")).when(opening & ~alone, F.col("n")).otherwise(0))
+    kinds = marks.withColumn("tag", found).groupBy("source_file", F.ltrim("tag", F.lit("/")).alias("name")).agg(  # a row an element's name
+        F.sum(F.when(opening, F.col("n"))).alias("opened"), F.sum(F.when(closing, F.col("n"))).alias("closed"), left.alias("left"), of(F.col("tag") != "", F.col("cut")).alias("cut"),
+        of(opening, F.col("shown")).alias("said"), of(opening, F.col("filled")).alias("filled"), of(opening, alone).alias("empty"), F.max(hides).alias("hides"),
+    ).withColumn("tag", F.lower("name"))
+    around = F.col("opened").isNotNull() & ~F.col("tag").isin(known) & ~F.col("filled") & ~F.col("empty")
     one = lambda t, c: F.max(F.when(F.col("tag") == t, F.col(c)))
-    heads = kinds.groupBy("source_file").agg(*(text.none_if_empty(one(t, "said")).alias(c) for c, t in header.items()), one("items", "n").alias("opened"), one("/items", "n").alias("closed"), one("/root", "n").alias("ended"), F.max(around).alias("others"))
+    total = lambda t, c: F.sum(F.when(F.col("tag") == t, F.col(c)))
+    broken = (F.col("left") != 0) | F.coalesce("cut", F.lit(False))
+    torn = F.max(broken & F.col("tag").isin(["root", "items", *header.values()])) | (F.max(broken) & ~F.max("hides"))
+    heads = kinds.groupBy("source_file").agg(*(text.none_if_empty(one(t, "said")).alias(c) for c, t in header.items()), total("items", "opened").alias("opened"), total("items", "closed").alias("closed"), total("root", "closed").alias("ended"), F.max(around).alias("others"), torn.alias("torn"))
     items = reader.format("xml").options(rowTag="Item", ignoreSurroundingSpaces="false", columnNameOfCorruptRecord="_corrupt_record").schema(schemas.PRICE_ITEM).load(paths)
     rows = items.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("position"), F.struct(*(c for c in items.columns if c != "_corrupt_record")).alias("i"), "_corrupt_record")
     broken = rows.groupBy("source_file").agg(F.max(F.col("_corrupt_record").isNotNull()).alias("broken"), F.count("i.ItemCode").alias("coded"))
     day = text.day_of(F.col("source_file"), text.PRICE_FULL)
     whole = (F.col("opened") == 1) & (F.col("closed") == 1) & ~F.coalesce("broken", F.lit(False))
-    reason = F.when(F.col("opened").isNull() & F.col("ended").isNotNull(), "empty").when(~F.coalesce(whole, F.lit(False)), "malformed").when(day.isNull(), "no date in name").when(F.col("others"), "other items")
+    reason = F.when(F.col("torn"), "malformed").when(F.col("opened").isNull() & F.col("ended").isNotNull(), "empty").when(~F.coalesce(whole, F.lit(False)), "malformed").when(day.isNull(), "no date in name").when(F.col("others"), "other items")
     files = heads.join(broken, "source_file", "left").select("source_file", *header, day.alias("extraction_date"), reason.alias("reason"), F.coalesce("coded", F.lit(0)).alias("coded"))
     return rows, files
 
