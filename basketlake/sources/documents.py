@@ -87,7 +87,10 @@ def _header(*names: str) -> list[Column]:
 def price_rows(parsed: DataFrame) -> DataFrame:
     """The staging columns and `position`, one row for each child of Items, whatever its name. Values are not trimmed; an
     empty element is null, and a child without elements a row of nulls."""
-    return _price_columns(parsed.select("source_file", "extraction_date", *_header("store_id", "chain_id", "sub_chain_id"), F.posexplode("doc.Items.Item").alias("position", "i")))
+    ids = ("store_id", "chain_id", "sub_chain_id")
+    # what a row takes of its document is picked before the generator, or each row would hold the whole document
+    docs = parsed.select("source_file", "extraction_date", *_header(*ids), F.col("doc.Items.Item").alias("items"))
+    return _price_columns(docs.select("source_file", "extraction_date", *ids, F.posexplode("items").alias("position", "i")))
 
 
 def _price_columns(items: DataFrame) -> DataFrame:
