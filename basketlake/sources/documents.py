@@ -25,14 +25,31 @@ def read_documents(spark: SparkSession, folder: str | list[str], feed: Feed, rec
     return rows.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("content"))
 
 
-def items_of_any_name(content: Column) -> Column:
-    """A price document in which each child of Items is called Item. The names are those that the parser finds (the keys of
-    a variant)."""
+#: Tags of a price document that are no items: those around them, and those within them.
+FRAME = ("Root", "Items", "Item", "StoreID", "ChainID", "SubChainID")
+FIELDS = (*FRAME[3:], *schemas.PRICE_TAGS.values(), "IsWeighted")
+
+
+def other_names_of_text(content: Column) -> Column:
+    """Names of a price document's elements that it has no use for, by its text: items of other names are among them, and the
+    rest is nowhere read. Null where text may mislead: the root has another name, or there are CDATA, declarations, or tags
+    within a value."""
+    unknown = rf"(?i)<(?!/|!|\?|(?:{'|'.join((*FRAME, *FIELDS))})[\s/>])([^\s<>/]+)"
+    plain = content.rlike(r"(?i)^\s*(?:<\?[^>]*\?>\s*)?<Root[\s>]") & ~content.rlike(rf"(?i)<!\[CDATA|<!DOCTYPE|<(?:{'|'.join(FIELDS)})(?:\s[^<>]*)?>[^<]*<(?!/)")
+    return F.when(plain, F.array_distinct(F.regexp_extract_all(content, F.lit(unknown), F.lit(1))))
+
+
+def other_names_of_items(content: Column) -> Column:
+    """Names of the children of Items other than Item, as the parser finds them (the keys of a variant)."""
     children = F.from_xml(content, "Items VARIANT", {"mode": "PERMISSIVE"})["Items"]
-    names = F.map_keys(F.try_variant_get(children, "$", "map<string, variant>"))
-    quoted = F.transform(F.filter(names, lambda n: ~n.startswith("_") & (F.lower(n) != "item")), lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E")))
+    return F.filter(F.map_keys(F.try_variant_get(children, "$", "map<string, variant>")), lambda n: ~n.startswith("_") & (F.lower(n) != "item"))
+
+
+def as_items(content: Column, names: Column) -> Column:
+    """A document in which elements of these names are called Item."""
+    quoted = F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E")))
     pattern = F.concat(F.lit("(?i)(</?)(?:"), F.array_join(quoted, "|"), F.lit(r")(?=[\s>/])"))
-    return F.when(F.size(quoted) > 0, F.regexp_replace(content, pattern, F.lit("$1Item"))).otherwise(content)
+    return F.regexp_replace(content, pattern, F.lit("$1Item"))
 
 
 def parse_documents(documents: DataFrame, feed: Feed) -> DataFrame:
@@ -40,11 +57,16 @@ def parse_documents(documents: DataFrame, feed: Feed) -> DataFrame:
     is no part of a document."""
     content = F.regexp_replace("content", "^\\uFEFF", "")
     read = lambda c: F.from_xml(c, DOCUMENTS[feed.label], XML)
-    # the generator keeps later projections from parsing again for each field
+    # the generators keep later projections from parsing again for each field
     parsed = documents.select("source_file", content.alias("content"), F.explode(F.array(read(content))).alias("doc"))
-    if feed is text.PRICE_FULL:  # xs_any: children of Items of other names; documents without them, as is usual, are parsed once
-        again = F.when(F.col("doc.Items.xs_any").isNotNull(), read(items_of_any_name(F.col("content")))).otherwise(F.col("doc"))
-        parsed = parsed.select("source_file", F.explode(F.array(again)).alias("doc"))
+    if feed is text.PRICE_FULL:
+        # xs_any: children of Items of other names; documents without them, as is usual, are parsed once, others are well-formed
+        # and parsed with these as Item: their names are looked for in the text, and if some are left, by a parse
+        for other_names in (other_names_of_text, other_names_of_items):
+            names = F.when(F.col("doc.Items.xs_any").isNotNull(), other_names(F.col("content")))
+            named = parsed.select("source_file", "content", "doc", F.explode(F.array(names)).alias("names"))
+            again = F.when(F.size("names") > 0, read(as_items(F.col("content"), F.col("names")))).otherwise(F.col("doc"))
+            parsed = named.select("source_file", "content", F.explode(F.array(again)).alias("doc"))
     good = F.when(F.col("doc._corrupt_record").isNull(), F.col("doc"))
     return parsed.select("source_file", good.alias("doc"), text.day_of(F.col("source_file"), feed).alias("extraction_date"))
 
@@ -105,10 +127,6 @@ def _price_columns(items: DataFrame) -> DataFrame:
     return rows.select(*schemas.STAGING, "position")
 
 
-#: Tags of a price document that are no items: those around them, and those within them.
-FRAME = ("Root", "Items", "Item", "StoreID", "ChainID", "SubChainID")
-
-
 def price_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(price_rows, judged files) of price documents of any size: items are read one by one as the file is unpacked, so no
     document is ever one value.
